@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     outputs = ["kept_text", "n_lines", "n_dropped", "_drop", "_thash"]
     docs = docs.drop(*outputs).withColumn("_thash", F.xxhash64("text"))
     known = docs.where("doc_id is not null and text is not null").select("doc_id", "text", "_thash")
-    cuts = known.select(F.percentile_approx("doc_id", [F.lit(i / batches) for i in range(1, batches)], F.lit(1000)).alias("q")).first()["q"] if batches > 1 else []
+    cuts = known.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     runs, repeats = Runs(spark, fanout), []
     for low, high in reversed(list(zip(edges, edges[1:]))):
