@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inkspark.llm.arrays import coded_words, segment_sums, slices, subwords
 from inkspark.llm.common import held_out, read
@@ -144,7 +145,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings = Setti
             margin = margins(batch.column("text"), weights, bias, s) if batch.num_rows else np.empty(0)
             yield batch.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500)))))
 
-    schema = docs.schema.add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
