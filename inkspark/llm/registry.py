@@ -5,12 +5,14 @@ from __future__ import annotations
 from inkspark.llm import sql
 from inkspark.llm.lines import op4_line_dedup
 from inkspark.llm.mixing import op3_mixing
+from inkspark.llm.packing import op2_packing
 from inkspark.llm.simhash import op10_simhash
 from inkspark.llm.toxicity import op5_toxicity
 
 
 def queries():
     return {
+        "op2_packing": op2_packing,
         "op3_mixing": op3_mixing,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
