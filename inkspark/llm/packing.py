@@ -108,10 +108,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     ``capacity``. A null text is empty."""
     slim = docs.select("doc_id", "text")
     names = ["piece", "start", "length", "ids_crc32"]
-    schema = slim.select("doc_id").schema
-    schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
-    if with_ids:
-        schema.add("ids", "array<int>")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):
         words = worker_words(path)
