@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkspark.llm import sql
+from inkspark.llm.langid import op1_language_id
 from inkspark.llm.lines import op4_line_dedup
 from inkspark.llm.mixing import op3_mixing
 from inkspark.llm.packing import op2_packing
@@ -12,6 +13,7 @@ from inkspark.llm.toxicity import op5_toxicity
 
 def queries():
     return {
+        "op1_language_id": op1_language_id,
         "op2_packing": op2_packing,
         "op3_mixing": op3_mixing,
         "op4_line_dedup": op4_line_dedup,
