@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from inkspark.llm import sql
+from inkspark.llm.covertree import op7_embedding_dedup
 from inkspark.llm.langid import op1_language_id
 from inkspark.llm.lines import op4_line_dedup
 from inkspark.llm.mixing import op3_mixing
+from inkspark.llm.multiindex import op8_topk_search
 from inkspark.llm.packing import op2_packing
 from inkspark.llm.simhash import op10_simhash
 from inkspark.llm.toxicity import op5_toxicity
@@ -18,9 +20,11 @@ def queries():
         "op3_mixing": op3_mixing,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
+        "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_topk_search": op8_topk_search,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql():
-    return {"op4_line_dedup": sql.LINE_DEDUP}
+    return {"op4_line_dedup": sql.LINE_DEDUP, "op8_topk_search": sql.TOPK_SEARCH}

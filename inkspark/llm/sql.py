@@ -19,3 +19,15 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+TOPK_SEARCH = """
+WITH rows AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         list_sum([CASE WHEN (coalesce(a[1], 0) > 0) <> (coalesce(a[2], 0) > 0) THEN 1 ELSE 0 END
+                   FOR a IN list_zip(q.embedding, v.embedding)]) AS distance
+  FROM rows q JOIN rows v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, distance::INTEGER AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM pairs)
+WHERE rank <= 10
+"""
