@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkspark.llm import sql
+from inkspark.llm.chaining import op9_substring_dedup
 from inkspark.llm.covertree import op7_embedding_dedup
 from inkspark.llm.langid import op1_language_id
 from inkspark.llm.lines import op4_line_dedup
@@ -22,6 +23,7 @@ def queries():
         "op5_toxicity": op5_toxicity,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_topk_search": op8_topk_search,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
     }
 
