@@ -199,7 +199,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
     """
     spark = docs.sparkSession
     order = ["length", "doc_id", "piece", "ids_crc32"]
-    ranged = range_numbered(pieces(docs, path, capacity, end_id, with_ids), *order)
+    ranged = range_numbered(cut(pieces(docs, path, capacity, end_id, with_ids)), *order)
     counts = {int(r["length"]): r["n"] for r in ranged.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranked = running_sum(ranged.withColumn("_one", F.lit(1)), "_one", "_rank", order, ["length"]).withColumn("_rank", F.col("_rank") - 1)
     by_length: dict[int, list] = {}
