@@ -23,7 +23,7 @@ from inkspark.llm.common import cut, range_numbered, read, running_sum
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers (only a store: others are encoded each time).
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: One pre-token of letters that case folding and composition leave letters, and such with ASCII marks after them.
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
 MARKS = r"[!-&(-/:-@\[-`{-~]+"
@@ -88,7 +88,7 @@ class Words:
 
     def texts(self, texts: pa.Array):
         """The ids of each text, in slices of bounded size: (first row, ids, offsets)."""
-        for at, part in slices(texts, 8_000_000):
+        for at, part in slices(texts):
             split = pc.split_pattern(pc.replace_substring(pc.replace_substring(part, "\n", " "), "\t", " "), " ")
             offsets, codes, words = coded_words(split)
             table, begin, sizes = self.encode(words)
