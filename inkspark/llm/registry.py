@@ -12,6 +12,7 @@ from inkspark.llm.multiindex import op8_topk_search
 from inkspark.llm.packing import op2_packing
 from inkspark.llm.simhash import op10_simhash
 from inkspark.llm.toxicity import op5_toxicity
+from inkspark.llm.wrapper import op6_html_text
 
 
 def queries():
@@ -21,6 +22,7 @@ def queries():
         "op3_mixing": op3_mixing,
         "op4_line_dedup": op4_line_dedup,
         "op5_toxicity": op5_toxicity,
+        "op6_html_text": op6_html_text,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_topk_search": op8_topk_search,
         "op9_substring_dedup": op9_substring_dedup,
