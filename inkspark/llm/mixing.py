@@ -46,7 +46,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
 
 
 def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, source, size, tie, source_size, target, copies) for every row of ``docs``.
+    """(doc_id, source, tie, row, size, source_size, target, copies) for every row of ``docs``. ``tie`` is a hash of the
+    text, and ``row`` counts the rows that are equal in all three.
 
     Documents of a source are shuffled by a seeded hash, so reruns agree. The e-th copy of a document finishes at
     virtual time ((e - 1) * source size + cumulative size) / target. All copies are sorted by that time over ranges and
@@ -85,10 +86,20 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, epochs: int = EPOCHS)
     n = F.coalesce("k.n", F.lit(0))
     share = F.floor(n / F.col("r.rows")) + F.when(F.col("r.row") <= n % F.col("r.rows"), 1).otherwise(0)
     return rows.alias("r").join(taken.alias("k"), on, "left").select(
-        *(f"r.{c}" for c in [*key, "size", "source_size", "target"]),
+        *(f"r.{c}" for c in [*key, "row", "size", "source_size", "target"]),
         F.when(F.col("r.size") == 0, 1).otherwise(share).cast("int").alias("copies"))
 
 
+def mixed(docs: DataFrame, seed: int = 17, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it; columns are those of ``docs``."""
+    key = ["doc_id", "source", "tie", "row"]
+    chosen = mix(docs, seed, weights, epochs).where("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in key), F.col("copies").alias("_copies"))
+    tied = docs.withColumn("_t", F.xxhash64("text"))
+    rows = tied.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "source", "_t").orderBy(F.lit(0))))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_t") == F.col("_tie"))
+    return rows.join(chosen, same & (F.col("_r") == F.col("_row"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
 def op3_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix(docs).select(
