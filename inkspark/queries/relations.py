@@ -220,7 +220,7 @@ def keyset_page(spark, sf_dir):
 
 
 @query("l03_keyset_frontier", """
-SELECT o_orderkey FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1995-01-01', 10) AND (o_orderdate, o_orderkey) <= (TIMESTAMP '1995-03-01', 0)
+SELECT o_orderkey FROM orders WHERE (o_orderdate > TIMESTAMP '1995-01-01' OR o_orderdate = TIMESTAMP '1995-01-01' AND o_orderkey > 10) AND o_orderdate < TIMESTAMP '1995-03-01'
 ORDER BY o_orderdate, o_orderkey LIMIT 50""")
 def keyset_frontier(spark, sf_dir):
     key = F.struct("o_orderdate", "o_orderkey")
