@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["metrics", "usage", "relations", "texts", "vectors"]
+MODULES = ["metrics", "usage", "relations", "windows", "texts", "vectors", "dialogue"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
