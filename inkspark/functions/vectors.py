@@ -26,7 +26,7 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Null for empty vectors, other lengths, null components, zero norms and overflow."""
     fine = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm(a) > 0) & (norm(b) > 0)
-    value = raw_dot(a, b) / (norm(a) * norm(b))
+    value = F.try_divide(raw_dot(a, b), norm(a) * norm(b))
     return F.when(fine & ~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 

@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from inkspark.functions.text import units, word_tokens
 
-TURNS = Window.partitionBy("conv_id").orderBy("turn")
+
+def turns_in_order():
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def alternation(turns: DataFrame) -> DataFrame:
     """(conv_id, windows, abab): four turns in a row by two hosts in turn."""
-    host, back = F.col("role"), [F.lag("role", k).over(TURNS) for k in (1, 2, 3)]
+    host, back = F.col("role"), [F.lag("role", k).over(turns_in_order()) for k in (1, 2, 3)]
     marked = turns.select("conv_id", back[2].isNotNull().alias("w"), ((host == back[1]) & (back[0] == back[2]) & (host != back[0])).alias("abab"))
     return marked.groupBy("conv_id").agg(F.count_if("w").alias("windows"), F.count_if(F.col("w") & F.col("abab")).alias("abab"))
 
 
 def cyclic(turns: DataFrame, periods=range(2, 13)) -> DataFrame:
     """(conv_id, rate): over the periods, the greatest share of turns by the host of so many turns before."""
-    marked = turns.select("conv_id", *((F.col("role") == F.lag("role", p).over(TURNS)).alias(f"p{p}") for p in periods))
+    marked = turns.select("conv_id", *((F.col("role") == F.lag("role", p).over(turns_in_order())).alias(f"p{p}") for p in periods))
     shares = [F.coalesce(F.count_if(f"p{p}") / F.nullif(F.count(f"p{p}"), F.lit(0)), F.lit(0.0)) for p in periods]
     return marked.groupBy("conv_id").agg(F.greatest(*shares).alias("rate"))
 
@@ -35,7 +37,7 @@ def adjacent(turns: DataFrame, similar: float = 0.62, close: int = 8) -> DataFra
     """Each turn's word-set similarity with the one before, whether it restates it, and whether lengths are alike."""
     words = F.array_distinct(word_tokens(F.col("text")))
     sized = turns.withColumn("w", words).withColumn("n", units(F.col("text")))
-    before, length = F.lag("w").over(TURNS), F.lag("n").over(TURNS)
+    before, length = F.lag("w").over(turns_in_order()), F.lag("n").over(turns_in_order())
     alike = jaccard(F.col("w"), before)
     return sized.select(
         "conv_id", "turn", F.when(before.isNotNull(), alike).alias("similarity"), F.coalesce(alike >= similar, F.lit(False)).alias("restates"),
@@ -44,7 +46,7 @@ def adjacent(turns: DataFrame, similar: float = 0.62, close: int = 8) -> DataFra
 
 def follow_through(turns: DataFrame, asks: Column, within: int = 3) -> DataFrame:
     """(conv_id, asked, answered): turns that ask, and those of them that another host follows within so many turns."""
-    later = [F.lead("role", k).over(TURNS) for k in range(1, within + 1)]
+    later = [F.lead("role", k).over(turns_in_order()) for k in range(1, within + 1)]
     answered = reduce(lambda a, b: a | b, [F.coalesce(x != F.col("role"), F.lit(False)) for x in later])
     marked = turns.select("conv_id", asks.alias("ask"), answered.alias("answered"))
     return marked.groupBy("conv_id").agg(F.count_if("ask").alias("asked"), F.count_if(F.col("ask") & F.col("answered")).alias("answered"))
@@ -53,7 +55,7 @@ def follow_through(turns: DataFrame, asks: Column, within: int = 3) -> DataFrame
 def callbacks(turns: DataFrame, similar: float = 0.2) -> DataFrame:
     """(conv_id, turn, called_back): a turn at least two before shares so much of its words."""
     words = F.array_distinct(word_tokens(F.col("text")))
-    earlier = F.collect_list("w").over(TURNS.rowsBetween(Window.unboundedPreceding, -2))
+    earlier = F.collect_list("w").over(turns_in_order().rowsBetween(Window.unboundedPreceding, -2))
     seen = turns.select("conv_id", "turn", words.alias("w")).withColumn("earlier", earlier)
     return seen.select("conv_id", "turn", F.exists("earlier", lambda x: jaccard(F.col("w"), x) >= similar).alias("called_back"))
 
