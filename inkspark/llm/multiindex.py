@@ -42,8 +42,9 @@ def distance(a: str, b: str, words: int):
 
 
 def segments(bits: int, n: int) -> list[np.ndarray]:
-    """The bits dealt into segments of about log2(n) bits each, at least 8 and at most 20."""
-    width = min(20, max(8, round(log2(max(n, 2)))))
+    """The bits dealt into segments of about log2(n) - 2 bits each, at least 8 and at most 20: four codes to a value keep
+    verification cheap, and narrower segments need far fewer probes."""
+    width = min(20, max(8, round(log2(max(n, 2))) - 2))
     return np.array_split(np.arange(bits), -(-bits // width))
 
 
