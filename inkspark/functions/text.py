@@ -124,3 +124,30 @@ def sanitized_log(text: Column, most: int = 6144) -> Column:
     hidden = F.regexp_replace(F.regexp_replace(plain, r"https?://\S+", "[url]"), r"/tmp/\S+", "[path]")
     half = most // 2
     return F.when(F.length(hidden) > most, F.concat(F.left(hidden, F.lit(half)), F.lit("..."), F.right(hidden, F.lit(half)))).otherwise(hidden)
+
+
+def hard_pieces(text: Column, most: int) -> Column:
+    """Pieces of ``most`` code points, one at least; for texts of the basic plane these are UTF-16 units too."""
+    n = F.greatest(F.lit(1), F.ceil(F.length(text) / most)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * most + 1, F.lit(most)))
+
+
+def sentence_atoms(text: Column, most: int = 48) -> Column:
+    """The first sentences, without bullets, by line and end mark."""
+    lines = F.regexp_replace(F.regexp_replace(text, r"(?m)^[-*] ", ""), r"([.!?]) +", "$1\n")
+    return F.slice(F.filter(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+
+
+def copy_shingles(text: Column, size: int = 60, step: int = 20) -> Column:
+    """Shingles of the letters and digits alone, every ``step`` characters."""
+    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+    n = F.ceil((F.length(plain) - (size - 1)) / step).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(plain, i * step + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def private_address(address: Column) -> Column:
+    """Whether an IPv4 address is private, local, shared, multicast or reserved; null if it is none."""
+    part = lambda i: F.split(address, r"\.")[i].try_cast("int")
+    a, b = part(0), part(1)
+    found = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | (a >= 224)
+    return F.when(address.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), found)
