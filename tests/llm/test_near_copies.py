@@ -183,6 +183,20 @@ def test_chaining(spark):
     assert (whole["start_word"], whole["end_word"]) == (0, len(texts[500]))
 
 
+def test_chaining_finds_passages_that_lie_apart(spark):
+    """Two passages with other words between them are two rows, and one beside a worse match is still found."""
+    rng = random.Random(12)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    p, q, r = new(60), new(70), new(55)
+    loose = new(120)
+    worse = [w if k % 7 < 5 else f"other{k}" for k, w in enumerate(loose)]
+    texts = [p + new(90) + q, new(5) + p + new(110) + q + new(9), r + loose, new(30) + r + worse]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    got = sorted((r["doc_id"], r["of_doc_id"], r["start_word"], r["end_word"]) for r in chaining.shared_passages(frame(spark, rows)).collect())
+    assert got[:2] == [(1, 0, 5, 65), (1, 0, 175, 245)]
+    assert any(x[:3] == (3, 2, 30) and x[3] >= 85 for x in got)
+
+
 def test_chaining_empty(spark):
     assert chaining.shared_passages(frame(spark, [])).collect() == []
     assert chaining.shared_passages(frame(spark, awkward())).collect() == []
