@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Code points of text that a task works on at once; longer batches are taken in slices.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 PRIME, MIX = np.uint64(1099511628211), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -21,6 +21,7 @@ def slices(texts: pa.Array, limit: int = SLICE_CHARS):
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield start, texts.slice(start, stop - start)
         start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def coded_words(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -56,24 +57,22 @@ def subwords(words: pa.Array, shortest: int, longest: int, buckets: int) -> tupl
     """(buckets, offsets): each word's character n-grams, with marks at its ends, and the word as a whole."""
     marked = pc.binary_join_element_wise("<", words.cast(pa.string()), ">", "")
     points, offsets = code_points(marked)
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    left = np.repeat(offsets[1:], sizes) - np.arange(len(points))
-    ids, owners = [], []
-    for n in range(shortest, longest + 1):
-        h = ngram_hashes(points, n)
-        fits = left[: len(h)] >= n
-        ids.append((h[fits] % np.uint64(buckets)).astype(np.int32))
-        owners.append(owner[: len(h)][fits])
+    sizes = np.diff(offsets).astype(np.int32)
+    numbers = [np.maximum(sizes - n + 1, 0) for n in range(shortest, longest + 1)]
+    begin = np.concatenate([[0], np.cumsum(sum(numbers) + 1, dtype=np.int64)])
+    out, at = np.empty(begin[-1], np.int32), begin[:-1].copy()
+    for n, number in zip(range(shortest, longest + 1), numbers):
+        # Each word's grams begin where the word does; they go behind those of the orders before.
+        place = np.arange(number.sum(), dtype=np.int64) - np.repeat(np.cumsum(number, dtype=np.int64) - number, number)
+        grams = (ngram_hashes(points, n)[np.repeat(offsets[:-1], number) + place] % np.uint64(buckets)).astype(np.int32)
+        out[np.repeat(at, number) + place] = grams
+        at += number
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max(initial=0)), PRIME)]), dtype=np.uint64)
-    place = np.arange(len(points)) - np.repeat(offsets[:-1], sizes)
+    place = np.arange(len(points), dtype=np.int64) - np.repeat(offsets[:-1], sizes)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(points.astype(np.uint64) * powers[place], dtype=np.uint64)])
     whole = (sums[offsets[1:]] - sums[offsets[:-1]]) * MIX
-    ids.append(((whole ^ (whole >> np.uint64(31))) % np.uint64(buckets)).astype(np.int32))
-    owners.append(np.arange(len(sizes)))
-    ids, owners = np.concatenate(ids), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(sizes)))]).astype(np.int64)
+    out[at] = ((whole ^ (whole >> np.uint64(31))) % np.uint64(buckets)).astype(np.int32)
+    return out, begin
 
 
 def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from inkspark.llm.common import cut, range_numbered, read, running_sum
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers (only a store: others are encoded each time).
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: One pre-token of letters that case folding and composition leave letters, and such with ASCII marks after them.
 LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
 MARKS = r"[!-&(-/:-@\[-`{-~]+"

@@ -35,8 +35,8 @@ class Settings:
     batch: int = 32
     rate: float = 0.15
     sharp: float = 2.0
-    fit_rows: int = 2500
-    fit_chars: int = 20_000
+    fit_rows: int = 2000
+    fit_chars: int = 8_000
     seed: int = 5
 
 
