@@ -190,9 +190,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK) -
     sizes = shelled.groupBy(*key, "shell").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
     blocked = cut(shelled.join(sizes, [*key, "shell"]).withColumn("block", F.pmod("node", "blocks")))
     blocks = cut(sizes.select(*key, "shell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
-    near = [c for c in key]
     a, b = blocks.alias("a"), blocks.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in near]
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key]
     pairs = a.join(b, on[0] & on[1] & (F.col("b.shell") - F.col("a.shell")).isin(0, 1)).where(
         (F.col("a.shell") < F.col("b.shell")) | (F.col("a.block") <= F.col("b.block"))).select(
         *(F.col(f"a.{c}") for c in key), F.struct("a.shell", "a.block").alias("one"), F.struct("b.shell", "b.block").alias("two"))
