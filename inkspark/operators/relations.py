@@ -42,7 +42,8 @@ def search(df: DataFrame, needle: str, columns: list[str]) -> DataFrame:
     return df.where(found)
 
 
-def bound(values: list[str], like: Column) -> Column:
+def bound(values: list[str]) -> Column:
+    """A cursor from SQL literals."""
     return F.struct(*(F.expr(v) for v in values))
 
 
@@ -50,7 +51,7 @@ def keyset_page(df: DataFrame, order: list[str], before: list[str], size: int) -
     """The page of ``size`` rows (1 to 50) after a cursor in descending order, with has_next: one row more is looked at."""
     size = max(1, min(50, size))
     key = F.struct(*order)
-    rows = df.where(key < bound(before, key)).orderBy(*(F.desc(c) for c in order)).limit(size + 1)
+    rows = df.where(key < bound(before)).orderBy(*(F.desc(c) for c in order)).limit(size + 1)
     place = F.row_number().over(Window.orderBy(*(F.desc(c) for c in order)))  # over size + 1 rows
     seen = rows.withColumn("_k", place).withColumn("has_next", F.count("*").over(Window.partitionBy()) > size)
     return seen.where(F.col("_k") <= size).drop("_k")

@@ -224,7 +224,7 @@ SELECT o_orderkey FROM orders WHERE (o_orderdate > TIMESTAMP '1995-01-01' OR o_o
 ORDER BY o_orderdate, o_orderkey LIMIT 50""")
 def keyset_frontier(spark, sf_dir):
     key = F.struct("o_orderdate", "o_orderkey")
-    orders = table(spark, sf_dir, "orders").where((key > r.bound(["timestamp_ntz'1995-01-01'", "10L"], key)) & (key <= r.bound(["timestamp_ntz'1995-03-01'", "0L"], key)))
+    orders = table(spark, sf_dir, "orders").where((key > r.bound(["timestamp_ntz'1995-01-01'", "10L"])) & (key <= r.bound(["timestamp_ntz'1995-03-01'", "0L"])))
     return orders.orderBy("o_orderdate", "o_orderkey").limit(50).select("o_orderkey")
 
 
