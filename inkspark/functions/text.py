@@ -37,7 +37,7 @@ def span_error(text: Column, start: Column, end: Column, quote: Column) -> Colum
 
 def canonical(text: Column) -> Column:
     """Line feeds only, no byte order mark, no blank lines at either end; the first line keeps its leading spaces."""
-    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "^﻿", "")
+    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "^\ufeff", "")
     return F.regexp_replace(F.regexp_replace(lines, r"^(?:[ \t]*\n)+", ""), r"(?:\n[ \t]*)+$", "")
 
 

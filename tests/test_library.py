@@ -163,3 +163,62 @@ def test_library_stands_alone():
     code = "import sys; sys.modules['inkspark.llm'] = None; from inkspark import queries; queries.load(); print(len(queries.QUERIES))"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert done.returncode == 0 and int(done.stdout.split()[-1]) > 100
+
+
+def test_pieces():
+    import numpy as np
+
+    from inkspark.functions import pieces
+
+    text = "One two three. " * 80
+    for cut, most in ((pieces.speech_pieces, 500), (pieces.narration_pieces, 420)):
+        parts = cut(text)
+        assert all(len(x) <= most for x in parts) and "".join("".join(parts).split()) == "".join(text.split()) and all(x.endswith(".") for x in parts)
+    assert pieces.speech_pieces("x" * 1200) == ["x" * 500, "x" * 500, "x" * 200] and pieces.speech_pieces("") == []
+    assert pieces.wrapped("aaaa中中", 2.2, 3) == ["aaaa", "中中"] and pieces.wrapped("a\nb\nc", 9, 2) is None
+    assert pieces.comparable("\ufeffe\u0301\u00a0 a\u00ad\r\nb ") == "\u00e9 a b"
+    assert pieces.reading_layout("One ... 1\nTwo ..... 3\nThree ... 3\nFour ... 9")[3] == ("ENTRY", "Four\t9")
+    assert pieces.reading_layout("One ... 4\nTwo ... 3\nThree ... 5\nFour ... 9")[0][0] == "PARAGRAPH"
+    assert [len(x[1].split(". ")) for x in pieces.reading_layout("A. B. C. D. E.")] == [3, 2]
+    assert pieces.fake_embedding("") == [0.0] * 4 and abs(sum(x * x for x in pieces.fake_embedding("abcdef😀")) - 1) < 1e-12
+    assert pieces.rescaled([1000, 2000], 5000) == [1000, 2000] and sum(pieces.rescaled([9000, 30_000, 1200], 10_000)) <= 11_500
+    assert pieces.gained(np.array([0.5, -0.5])) == 0.2 and pieces.gained(np.zeros(3)) == 1.0
+
+
+def test_soft_split_prefers_ends():
+    spans = structure.soft_split("word word. " * 60, 200)
+    assert spans[0][0] == 0 and spans[-1][1] == 660 and all(a[1] == b[0] and a[1] - a[0] <= 200 for a, b in zip(spans, spans[1:]))
+    assert all(("word word. " * 60)[a:b].endswith(". ") for a, b in spans[:-1])
+
+
+def test_reduction_and_budgets():
+    import pandas as pd
+
+    from inkspark.plans import budgets, reduction
+
+    answer, rounds = reduction.reduce_texts([f"block {i} " + "x" * 300 for i in range(100)], 1000)
+    assert rounds > 1 and answer.split(" ")[0]
+    assert reduction.batches_of(["a" * 5, "b" * 5, "c" * 12], 11) == [["aaaaa", "bbbbb"], ["c" * 11], ["c"]]
+    with pytest.raises(ValueError):
+        reduction.reduce_texts(["a" * 30] * 3, 40, lambda g: "z" * 90)
+    items = pd.DataFrame({"request": 1, "source": ["a", "a", "b", "c"], "place": range(4), "cost": [9, 2, 4, 3]})
+    assert budgets.fair_choice(items, 9)["place"].tolist() == [1, 2, 3] and budgets.fair_choice(items, 8).empty
+    assert budgets.fair_choice(items, 18)["place"].tolist() == [0, 1, 2, 3]
+
+
+def test_archives(spark):
+    import io
+    import zipfile
+
+    from inkspark.sources import archives
+
+    def book(*names):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for name in names:
+                z.writestr(name, "<h1>A</h1><p>b</p><p>c</p>")
+        return bytearray(buffer.getvalue())
+
+    df = spark.createDataFrame([(1, book("text/a.xhtml")), (2, book("../a.xhtml")), (3, bytearray(b"PK no zip")), (4, None)], "page_id long, content binary")
+    got = sorted((r["page_id"], r["kind"] or "", r["blocks"], r["error"]) for r in archives.entries(df).collect())
+    assert got == [(1, "HEADING", 1, None), (1, "PARAGRAPH", 2, None), (2, "", 0, "PATH"), (3, "", 0, "CORRUPT"), (4, "", 0, "CORRUPT")]
