@@ -31,4 +31,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_line_dedup": sql.LINE_DEDUP, "op8_topk_search": sql.TOPK_SEARCH}
+    return {"op4_line_dedup": sql.LINE_DEDUP, "op7_embedding_dedup": sql.EMBEDDING_DEDUP, "op8_topk_search": sql.TOPK_SEARCH}
