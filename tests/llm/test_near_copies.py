@@ -197,6 +197,19 @@ def test_chaining_finds_passages_that_lie_apart(spark):
     assert any(x[:3] == (3, 2, 30) and x[3] >= 85 for x in got)
 
 
+@pytest.mark.parametrize("step", [6, 8, 10])
+def test_chaining_finds_evenly_edited_passages(spark, step):
+    """Every ``step``-th word differs, so that no run is longer than ``step`` - 1 words."""
+    rng = random.Random(13)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for n in (60, 80, 100):
+        p = new(n)
+        texts += [new(20) + p + new(30), new(9) + [w if (k + 1) % step else f"other{k}" for k, w in enumerate(p)] + new(40)]
+    got = chaining.shared_passages(frame(spark, [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    assert {(r["doc_id"], r["of_doc_id"]) for r in got} == {(1, 0), (3, 2), (5, 4)}
+
+
 def test_chaining_empty(spark):
     assert chaining.shared_passages(frame(spark, [])).collect() == []
     assert chaining.shared_passages(frame(spark, awkward())).collect() == []
