@@ -210,6 +210,19 @@ def test_chaining_finds_evenly_edited_passages(spark, step):
     assert {(r["doc_id"], r["of_doc_id"]) for r in got} == {(1, 0), (3, 2), (5, 4)}
 
 
+@pytest.mark.parametrize("many", [32, 3])
+def test_chaining_looks_past_excerpts(spark, many):
+    """Documents of smaller id hold parts of a passage that are too short to count; those that hold it all are paired."""
+    rng = random.Random(14)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    p = new(60)
+    parts = [p[:45], p[15:], p[5:50], p[10:55], p[:45], p[12:]]
+    texts = [new(20) + part + new(30) for part in parts] + [new(9) + p + new(20), new(15) + p[:40] + new(8), new(3) + p + new(9), new(40) + p]
+    got = chaining.shared_passages(frame(spark, [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]), chaining.Settings(many=many)).collect()
+    assert {(r["doc_id"], r["of_doc_id"]) for r in got} >= {(8, 6), (9, 6)}
+    assert {r["doc_id"] for r in got} | {r["of_doc_id"] for r in got} == {6, 8, 9}
+
+
 def test_chaining_empty(spark):
     assert chaining.shared_passages(frame(spark, [])).collect() == []
     assert chaining.shared_passages(frame(spark, awkward())).collect() == []
