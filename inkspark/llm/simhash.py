@@ -216,5 +216,16 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_rows(texts: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
+    """(a, b) links of the rows of (row, text), row a text's hash, whose components are those of their fingerprints."""
+    fps = cut(fingerprints(texts.select(F.col("row").alias("doc_id"), "text").dropDuplicates(["doc_id"]), words))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    of = components(links(distinct.select("fp"), bits), "a", "b")
+    tops = distinct.join(of, distinct.fp == of.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    named = cut(fps.join(tops, "fp").select("doc_id", "component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("a"))
+    return cut(named.join(least, "component").where("a <> doc_id").select("a", F.col("doc_id").alias("b")))
+
+
 def op10_simhash(spark, sf_dir):
     return near_groups(read(spark, sf_dir, "documents"))

@@ -1,8 +1,11 @@
+import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
-from inkspark.llm import registry, wrapper
-from tests.llm.data import awkward, documents
+from inkspark.llm import jaccard, registry, wrapper
+from tests.llm.data import awkward, documents, frame
 from tests.llm.test_near_copies import plain_fingerprint, smallest_reachable
 
 
@@ -75,6 +78,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert {"doc_id", "piece", "sequence_id", "offset", "ids_crc32"} <= set(last.columns) and last.count() >= len(ids[3])
 
 
+@pytest.mark.parametrize("many", [64, 2])
+def test_near_dedup_takes_all_copies_of_similarity(spark, many, monkeypatch):
+    """Copies whose five-word shingles agree to 0.8 go, however many bits of their fingerprints differ."""
+    monkeypatch.setattr(jaccard, "MANY", many)
+    rng, rows = random.Random(21), []
+    for i in range(12):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 120))]
+        for k in range(5):
+            own = words[:]
+            for at in rng.sample(range(len(own)), k):
+                own[at] = f"new{i}x{k}x{at}"
+            rows.append((i * 10 + k, " ".join(own), "en", "s", 1))
+    rows += [(500, "one text", "en", "s", 1), (500, "another text", "en", "s", 1), (501, None, "en", "s", 1), (None, rows[0][1], "en", "s", 1)]
+
+    def sets(text):
+        w = (text or "").split()
+        return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+    held, prints = [sets(r[1]) for r in rows], [plain_fingerprint(r[1]) for r in rows]
+    alike = lambda i, j: bool(held[i] and held[j]) and len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j])
+    near = lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 2
+    assert any(alike(i, j) and not near(i, j) for i in range(len(rows)) for j in range(i))
+    groups = smallest_reachable([r[0] for r in rows], lambda i, j: alike(i, j) or near(i, j))
+    got = corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({g for g in groups if g is not None} | {None})
+    assert next(r["text"] for r in got if r["doc_id"] == 500) == "another text"
+
+
 def test_registry_has_the_ten():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
