@@ -9,6 +9,7 @@ Every fingerprint probes with its partition keys and their variants; the join ve
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 from math import comb
 
@@ -146,21 +147,26 @@ def flips(bits: list[int], most: int) -> list[int]:
     return [signed(sum(1 << b for b in chosen)) for k in range(most + 1) for chosen in combinations(bits, k)]
 
 
+def numbered(part: int, key):
+    return F.struct(F.lit(part).alias("part"), key.alias("key"))
+
+
 def keys(fps: DataFrame, parts: list[tuple[list[int], int]], probe: bool) -> DataFrame:
     """(part, key, fp): the key of each partition; for probing also its variants within the partition's threshold."""
     made = []
     for i, (bits, t) in enumerate(parts):
         own = F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in bits))))
         masks = flips(bits, t if probe else 0)
-        variants = F.transform(F.array(*map(F.lit, masks)), lambda mask, own=own: own.bitwiseXOR(mask)) if len(masks) > 1 else F.array(own)
-        made.append(F.transform(variants, lambda key, i=i: F.struct(F.lit(i).alias("part"), key.alias("key"))))
+        variants = F.transform(F.array(*map(F.lit, masks)), own.bitwiseXOR)
+        # A second argument of a transform's function, even one with a default, would be the index.
+        made.append(F.transform(variants, partial(numbered, i)))
     return fps.select("fp", F.inline(F.concat(*made)))
 
 
 def links(fps: DataFrame, bits: int) -> DataFrame:
     """(a, b) pairs of distinct fingerprints; their connected components are those of all pairs within ``bits``.
 
-    Fingerprints of hot buckets don't meet pairwise in them. Each emits all values within half of ``bits`` of its own;
+    Fingerprints of hot buckets, and those that probe one, don't meet pairwise in them. Each emits all values within half of ``bits`` of its own;
     two within ``bits`` have such a value in common, and those that share one are within ``bits``, or one more if
     ``bits`` is odd, where the distance to the value is part of the key. They are tied to the smallest at the value.
     """
@@ -173,7 +179,7 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
     hot = cut(index.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("part", "key"))
     some = not hot.isEmpty()
     if some:
-        crowd = cut(index.join(hot, ["part", "key"], "left_semi").select("fp").distinct())
+        crowd = cut(keys(fps, parts, True).join(hot, ["part", "key"], "left_semi").select("fp").distinct())
         index = index.join(hot, ["part", "key"], "left_anti")
     probes = keys(fps, parts, True).alias("p")
     on = (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & (F.col("p.fp") < F.col("i.fp"))
@@ -217,8 +223,8 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
 
 
 def near_rows(texts: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """(a, b) links of the rows of (row, text), row a text's hash, whose components are those of their fingerprints."""
-    fps = cut(fingerprints(texts.select(F.col("row").alias("doc_id"), "text").dropDuplicates(["doc_id"]), words))
+    """(a, b) stars, a the least, of the rows of (row, text), row a text's hash; they are the fingerprints' components."""
+    fps = cut(fingerprints(texts.select(F.col("row").alias("doc_id"), "text"), words).dropDuplicates(["doc_id"]))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     of = components(links(distinct.select("fp"), bits), "a", "b")
     tops = distinct.join(of, distinct.fp == of.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))

@@ -57,6 +57,17 @@ def test_simhash(spark, bits, hot, monkeypatch):
         map(str, ((r[0], f"{p:016x}", c) for r, p, c in zip(rows, prints, expected))))
 
 
+def test_simhash_reaches_hot_buckets_from_others(spark, monkeypatch):
+    """A fingerprint in a small bucket is within two bits of one in a hot bucket, whose key differs in one."""
+    monkeypatch.setattr(simhash, "HOT_BUCKET", 3)
+    monkeypatch.setattr(simhash, "plan", lambda *_: [(list(range(32)), 1), (list(range(32, 64)), 0)])
+    crowd = [0b1100 | (0b1111 << 32 + 5 * k) for k in range(6)]
+    near = crowd[2] & ~0b100 & ~(1 << 42)
+    far = 0b11 << 20 | 0b1 << 60
+    got = simhash.links(spark.createDataFrame([(x,) for x in [*crowd, near, far]], "fp long"), 2).collect()
+    assert {frozenset((r["a"], r["b"])) for r in got} == {frozenset((near, crowd[2]))}
+
+
 def test_simhash_empty(spark):
     assert simhash.near_groups(frame(spark, [])).collect() == []
     assert simhash.near_groups(frame(spark, [(7, None, None, None, None)])).first()["fingerprint"] == "0" * 16
