@@ -8,8 +8,11 @@ import unicodedata
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 END_MARKS = "。！？.!?；;"
 
@@ -58,6 +61,16 @@ def comparable(text: str) -> str:
     return re.sub(r"[ \t\n\f\v]+", " ", plain).strip()
 
 
+def title_form(text: str) -> str:
+    """Compatibility forms folded, white space runs as one space, none at the ends."""
+    return " ".join(unicodedata.normalize("NFKC", text).split())
+
+
+@F.pandas_udf(StringType())
+def compare_key(texts: pd.Series) -> pd.Series:
+    return texts.map(title_form, na_action="ignore")
+
+
 def reading_layout(text: str) -> list[tuple[str, str]]:
     """(kind, text): a table of contents if four lines or more lead by dots to pages that don't go back and nothing else
     is left, or paragraphs of three sentences or 220 characters."""

@@ -55,3 +55,11 @@ def keyset_page(df: DataFrame, order: list[str], before: list[str], size: int) -
     place = F.row_number().over(Window.orderBy(*(F.desc(c) for c in order)))  # over size + 1 rows
     seen = rows.withColumn("_k", place).withColumn("has_next", F.count("*").over(Window.partitionBy()) > size)
     return seen.where(F.col("_k") <= size).drop("_k")
+
+
+def from_either_end(edges: DataFrame, items: DataFrame, about: str) -> DataFrame:
+    """(own, other, <about>, other_<about>): relations (from_id, to_id) as each of their ends sees them; a loop counts once."""
+    end = F.explode(F.when(F.col("from_id") == F.col("to_id"), F.array("from_id")).otherwise(F.array("from_id", "to_id"))).alias("own")
+    seen = edges.select("from_id", "to_id", end).select("own", F.when(F.col("own") == F.col("from_id"), F.col("to_id")).otherwise(F.col("from_id")).alias("other"))
+    named = seen.join(items.select(F.col("id").alias("own"), about), "own")
+    return named.join(items.select(F.col("id").alias("other"), F.col(about).alias(f"other_{about}")), "other")

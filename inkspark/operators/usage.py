@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.operators.metrics import nearest_rank, rate
+from inkspark.operators.metrics import rate
+from inkspark.operators.ordering import nearest_ranks
 from inkspark.sources.tables import millis
 
 MILLION = 1_000_000
@@ -48,9 +49,9 @@ def summary(costs: DataFrame) -> DataFrame:
     total = costs.agg(
         F.count("*").alias("attempts"), F.count_if(F.col("status") == "SUCCEEDED").alias("succeeded"),
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        nearest_rank("latency_ms", 0.5).alias("latency_p50"), nearest_rank("latency_ms", 0.95).alias("latency_p95"),
         F.sum("cost").alias("cost"), F.count("cost").alias("priced"))
-    return total.join(retried).select(
+    waits = nearest_ranks(costs.select(F.col("latency_ms").alias("latency")), ["latency"], [0.5, 0.95])
+    return total.join(retried).join(waits).select(  # single rows
         "invocations", "attempts", "succeeded", rate(F.col("retried"), F.col("invocations"), 0.0).alias("retry_rate"), "input_tokens", "output_tokens",
         "latency_p50", "latency_p95", "cost", rate(F.col("priced"), F.col("attempts"), 0.0).alias("coverage"))
 
@@ -62,6 +63,6 @@ def timing(runs: DataFrame) -> DataFrame:
         wait("created_at", "started_at").alias("queue"), wait("started_at", "completed_at").alias("run"), wait("created_at", "completed_at").alias("total"),
         F.col("completed_at").isNull().alias("open"))
     # greatest() skips nulls; a wait without its end is unknown, not 0.
-    return times.select(*(F.when(~F.col("open") | F.lit(c == "queue"), F.col(c)).alias(c) for c in ("queue", "run", "total")), "open").agg(
-        F.count("*").alias("runs"), F.count_if("open").alias("incomplete"),
-        *(nearest_rank(c, p).alias(f"{c}_p{int(100 * p)}") for c in ("queue", "run", "total") for p in (0.5, 0.95)))
+    times = times.select(*(F.when(~F.col("open") | F.lit(c == "queue"), F.col(c)).alias(c) for c in ("queue", "run", "total")), "open")
+    counts = times.agg(F.count("*").alias("runs"), F.count_if("open").alias("incomplete"))
+    return counts.join(nearest_ranks(times, ["queue", "run", "total"], [0.5, 0.95]))  # single rows

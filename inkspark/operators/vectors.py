@@ -1,0 +1,54 @@
+"""Asking vectors against all others of other documents, in blocks."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Asking vectors and others that meet in a task.
+ASKING, OTHERS = 4096, 65_536
+
+
+def closest(asks: DataFrame, rows: DataFrame, k: int, least: float | None = None, by_label: bool = False) -> DataFrame:
+    """(left_id, right_id, label, rank, score): the ``k`` vectors of other labels with the greatest cosine to each asking one
+    (of each label, with ``by_label``), at ``least`` so great; smaller ids come first among equals.
+
+    Blocks of asking vectors meet blocks of the others, so that a task's memory is bounded; it gives its best, of which
+    the best are taken. Vectors that are null, empty or zero, or hold null or non-finite components, are left out.
+    """
+    columns = [F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("e")]
+    fine = (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
+    one, two = (df.select(*columns).where(fine & F.col("label").isNotNull()).withColumn("dim", F.size("e")) for df in (asks, rows))
+    b, p = (max(1, -(-df.count() // most)) for df, most in ((one, ASKING), (two, OTHERS)))
+    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = deal(one, "b", b, "p", p).withColumn("asks", F.lit(True))
+    right = deal(two, "p", p, "b", b).withColumn("asks", F.lit(False))
+
+    def run(table: pa.Table) -> pa.Table:
+        asking = table.column("asks").to_numpy()
+        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        unit = table.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+        out = []
+        others = np.flatnonzero(~asking)
+        others = others[np.argsort(ids[others], kind="stable")]
+        groups = [others[labels[others] == x] for x in np.unique(labels[others])] if by_label else [others]
+        for low in range(0, int(asking.sum()), 256):
+            some = np.flatnonzero(asking)[low : low + 256]
+            for group in groups:
+                # Sums of equal vectors may differ in their last bits.
+                scores = np.round(unit[some] @ unit[group].T, 12)
+                scores[labels[some][:, None] == labels[group][None, :]] = -np.inf
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                for i, row in enumerate(best):
+                    kept = row[scores[i, row] >= (-2 if least is None else least)]
+                    out.append((np.full(len(kept), ids[some[i]]), ids[group[kept]], labels[group[kept]], scores[i, kept]))
+        joined = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
+        return pa.table(dict(zip(("left_id", "right_id", "label", "score"), joined)))
+
+    found = left.unionByName(right).groupBy("b", "p", "dim").applyInArrow(run, "left_id long, right_id long, label long, score double")
+    key = ["left_id", "label"] if by_label else ["left_id"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "right_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("left_id", "right_id", "label", "rank", "score")

@@ -199,11 +199,12 @@ def map_build(spark, sf_dir):
     return maps.select("o_custkey", *(F.coalesce(F.try_element_at("m", F.lit(k.upper())), F.lit(0)).alias(k) for k in "fo"))
 
 
-@query("n02_explode_collect", "SELECT s_nationkey, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) AS suppliers FROM supplier GROUP BY s_nationkey")
+@query("n02_explode_collect", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS parts FROM lineitem GROUP BY l_orderkey")
 def explode_collect(spark, sf_dir):
-    grouped = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("k"))
-    again = grouped.select("s_nationkey", F.posexplode("k").alias("place", "id")).groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("k"))
-    return again.select("s_nationkey", F.array_join(F.transform("k", lambda x: x["id"].cast("string")), ",").alias("suppliers"))
+    """An order's lines as one array, taken apart with their places and gathered again."""
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("k"))
+    again = grouped.select("l_orderkey", F.posexplode("k").alias("place", "id")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("k"))
+    return again.select("l_orderkey", F.array_join(F.transform("k", lambda x: x["id"].cast("string")), ",").alias("parts"))
 
 
 @query("a32_progress", "SELECT o_custkey, CASE WHEN count(*) > 0 THEN least(100, floor(count(*) FILTER (o_orderstatus = 'F') / count(*) * 1000 + 0.5) / 10) END::DOUBLE AS percent FROM orders GROUP BY o_custkey")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkspark.operators import metrics as m
+from inkspark.operators.ordering import nearest_ranks
 from inkspark.queries import query
 from inkspark.sources.tables import ANALYSIS, MEANINGFUL, SESSION, as_of, hours, millis, participants, table
 
@@ -65,7 +66,8 @@ SELECT count(*)::BIGINT AS n, quantile_disc(ms, 0.5)::BIGINT AS p50, quantile_di
 def time_to_activation(spark, sf_dir):
     done, _ = activated(spark, sf_dir)
     times = done.where("activated_at is not null").select(m.elapsed("activated_at", "enrolled_at").alias("ms"))
-    return times.agg(F.count("*").alias("n"), m.nearest_rank("ms", 0.5).alias("p50"), m.nearest_rank("ms", 0.95).alias("p95"), F.count_if(F.col("ms") < 0).alias("negative"))
+    counts = times.agg(F.count("*").alias("n"), F.count_if(F.col("ms") < 0).alias("negative"))
+    return counts.join(nearest_ranks(times, ["ms"], [0.5, 0.95])).select("n", F.col("ms_p50").alias("p50"), F.col("ms_p95").alias("p95"), "negative")  # single rows
 
 
 def retention_sql(kinds: str, start: int) -> str:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from inkspark.functions import pieces
 from inkspark.functions import text as t
 from inkspark.functions import vectors as v
 from inkspark.operators import decisions as d
+from inkspark.operators.vectors import closest
 from inkspark.plans import budgets, reduction
 from inkspark.queries import query
 from inkspark.sources import archives
@@ -61,12 +63,11 @@ def copy_risk(spark, sf_dir):
     return joined.groupBy("doc_id").agg(F.round(F.count("held") / F.count("*"), 6).alias("risk"))
 
 
-@query("x26_title_key", r"SELECT doc_id, sha256(trim(regexp_replace(left(text, 60), '\s+', ' ', 'g'))) AS digest FROM documents WHERE regexp_full_match(left(text, 60), '[ -~\n]*')")
+@query("x26_title_key")
 def title_key(spark, sf_dir):
-    """The ASCII titles only, where compatibility forms change nothing."""
-    first = F.left("text", F.lit(60))
-    ascii_only = docs(spark, sf_dir).where(F.octet_length(first) == F.length(first))
-    return ascii_only.select("doc_id", F.sha2(F.btrim(F.regexp_replace(first, r"\s+", " ")), 256).alias("digest"))
+    """Every text as a title: compatibility forms folded, white space runs as one space, none at the ends."""
+    keyed = docs(spark, sf_dir).withColumn("key", pieces.compare_key("text"))
+    return keyed.select("doc_id", F.sha2("key", 256).alias("digest"))
 
 
 @query("x31_reanchoring", LINES + " SELECT doc_id, o::INTEGER AS ordinal, (instr(line, 'the') - 1)::INTEGER AS start, (instr(line, 'the') + 2)::INTEGER AS finish FROM b WHERE instr(line, 'the') > 0")
@@ -200,13 +201,13 @@ def memory_plan(spark, sf_dir):
 
 @query("p11_retrieval", """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 1), s AS (
-  SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q WHERE vec_id % 4 > 0)
+  SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q)
 SELECT s.vec_id, round(s.s, 6) AS score, (d.doc_id IS NOT NULL) AS has_source FROM (SELECT * FROM s ORDER BY s DESC, vec_id LIMIT 30) s LEFT JOIN documents d ON s.vec_id = d.doc_id""")
 def retrieval(spark, sf_dir):
     """Ranked by dot product, then overlaid with the documents that there are."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id = 1").select(F.col("embedding").alias("e"))
-    best = rows.where("vec_id % 4 > 0").join(F.broadcast(asked)).withColumn("s", v.dot(F.col("embedding"), F.col("e"))).orderBy(F.desc("s"), "vec_id").limit(30)  # one row
+    best = rows.join(F.broadcast(asked)).withColumn("s", v.dot(F.col("embedding"), F.col("e"))).orderBy(F.desc("s"), "vec_id").limit(30)  # one row
     sources = table(spark, sf_dir, "documents").select("doc_id")
     return best.join(sources, F.col("vec_id") == F.col("doc_id"), "left").select("vec_id", F.round("s", 6).alias("score"), F.col("doc_id").isNotNull().alias("has_source"))
 
@@ -248,13 +249,15 @@ def audio_gate(spark, sf_dir):
 
 
 @query("p28_associations", """
-WITH p AS (SELECT a.vec_id AS x, b.vec_id AS y, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label + 2 = b.label WHERE a.vec_id % 40 = 3)
-SELECT x, max(s) > 0.3 AS related, arg_max(y, s) AS best FROM p GROUP BY x""")
+WITH unit AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y, b.label, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM unit a JOIN unit b ON a.label <> b.label WHERE a.vec_id % 100 = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY x, label ORDER BY s DESC, y) AS k FROM p)
+SELECT x, count(*) FILTER (s >= 0.3)::BIGINT AS books, arg_max(y, (s, -y)) AS best FROM best WHERE k = 1 GROUP BY x""")
 def associations(spark, sf_dir):
+    """For each asking vector (ids divisible by 100) its closest vector in every other book: how many are close, and the closest."""
     rows = table(spark, sf_dir, "embeddings")
-    asks = rows.where("vec_id % 40 = 3").select(F.col("vec_id").alias("x"), F.col("embedding").alias("e"), (F.col("label") + 2).alias("label"))
-    pairs = rows.join(asks, "label").select("x", F.col("vec_id").alias("y"), v.dot(F.col("embedding"), F.col("e")).alias("s"))
-    return pairs.groupBy("x").agg((F.max("s") > 0.3).alias("related"), F.max_by("y", "s").alias("best"))
+    best = closest(rows.where("vec_id % 100 = 0"), rows, 1, None, by_label=True)
+    return best.groupBy(F.col("left_id").alias("x")).agg(F.count_if(F.col("score") >= 0.3).alias("books"), F.max_by("right_id", F.struct("score", -F.col("right_id"))).alias("best"))
 
 
 @query("s09_archive_entries")

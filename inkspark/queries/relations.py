@@ -92,12 +92,18 @@ def deepest_node(spark, sf_dir):
 
 
 @query("j08_self_join", """
-WITH edges AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey % 10 = 0)
-SELECT x.b AS from_id, y.b AS to_id, count(*)::BIGINT AS n FROM edges x JOIN edges y ON x.a = y.a AND x.b < y.b WHERE x.a % 50 = 1 GROUP BY x.b, y.b""")
+WITH items AS (SELECT p_partkey AS id, p_brand AS kind FROM part),
+edges AS (SELECT l_orderkey, l_linenumber, l_partkey AS from_id, 1 + (l_partkey + l_suppkey) % (SELECT count(*) FROM part) AS to_id FROM lineitem),
+ends AS (SELECT from_id AS own, to_id AS other FROM edges UNION ALL SELECT to_id, from_id FROM edges WHERE from_id <> to_id)
+SELECT own, count(*)::BIGINT AS relations, count(DISTINCT other)::BIGINT AS others, count(*) FILTER (a.kind = b.kind)::BIGINT AS alike
+FROM ends JOIN items a ON a.id = own JOIN items b ON b.id = other GROUP BY own""")
 def self_join(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0 and l_suppkey % 50 = 1").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    x, y = edges.alias("x"), edges.alias("y")
-    return x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b"))).groupBy(F.col("x.b").alias("from_id"), F.col("y.b").alias("to_id")).agg(F.count("*").alias("n"))
+    """Every relation seen from either end, with both items; an item's relations and its other ends."""
+    parts = table(spark, sf_dir, "part")
+    items, n = parts.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind")), parts.agg(F.count("*").alias("n"))
+    edges = table(spark, sf_dir, "lineitem").join(F.broadcast(n)).select(F.col("l_partkey").alias("from_id"), (1 + (F.col("l_partkey") + F.col("l_suppkey")) % F.col("n")).alias("to_id"))  # one row
+    return r.from_either_end(edges, items, "kind").groupBy("own").agg(
+        F.count("*").alias("relations"), F.count_distinct("other").alias("others"), F.count_if(F.col("kind") == F.col("other_kind")).alias("alike"))
 
 
 @query("j10_null_safe", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkspark.operators import usage as u
+from inkspark.operators.ordering import admitted
 from inkspark.queries import query
 from inkspark.sources.tables import millis, prices, table, usage
 
@@ -115,12 +116,19 @@ def usage_filter(spark, sf_dir):
 
 
 @query("p22_budget_admission", """
-SELECT o_custkey, date_trunc('month', o_orderdate) AS day, o_orderkey, o_totalprice <= 0 OR sum(o_totalprice) OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) <= 300000 AS within_limit FROM orders""")
+WITH RECURSIVE o AS (
+  SELECT o_custkey, date_trunc('month', o_orderdate) AS day, o_orderkey, o_totalprice AS p,
+    row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+f AS (
+  SELECT o_custkey, day, o_orderkey, k, p <= 300000 AS fits, CASE WHEN p > 0 AND p <= 300000 THEN p ELSE 0 END AS used FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.o_custkey, o.day, o.o_orderkey, o.k, o.p <= 0 OR f.used + o.p <= 300000, f.used + CASE WHEN o.p > 0 AND f.used + o.p <= 300000 THEN o.p ELSE 0 END
+  FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.day = f.day AND o.k = f.k + 1)
+SELECT o_custkey, day, o_orderkey, fits AS within_limit FROM f""")
 def budget_within(spark, sf_dir):
-    """Whether all that was asked for up to a request stays within the period's limit."""
-    orders = table(spark, sf_dir, "orders")
-    spent = F.expr("sum(o_totalprice) over (partition by o_custkey, date_trunc('month', o_orderdate) order by o_orderdate, o_orderkey rows unbounded preceding)")
-    return orders.select("o_custkey", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("day"), "o_orderkey", ((F.col("o_totalprice") <= 0) | (spent <= 300000)).alias("within_limit"))
+    """Requests of a period in order; each that fits with those admitted before is admitted itself."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("day"), "o_orderdate", "o_orderkey", "o_totalprice")
+    return admitted(orders, ["o_custkey", "day"], ["o_orderdate", "o_orderkey"], "o_totalprice", 300_000).select("o_custkey", "day", "o_orderkey", "within_limit")
 
 
 @query("d04_stuck", """

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkspark.functions import vectors as v
+from inkspark.operators.vectors import closest
 from inkspark.queries import query
 from inkspark.sources.tables import table
 
@@ -42,15 +43,13 @@ def vector_topk(spark, sf_dir):
 
 
 @query("j09_vector_pairs", f"""
-WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, {COS} AS c FROM embeddings a JOIN embeddings b ON a.label + 1 = b.label WHERE a.vec_id % 50 = 0)
-SELECT left_id, right_id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS k FROM p) WHERE k <= 3""")
+WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, {COS} AS c FROM embeddings a JOIN embeddings b ON len(a.embedding) = len(b.embedding) AND a.label <> b.label WHERE a.vec_id % 100 = 0)
+SELECT left_id, right_id, k::INTEGER AS rank, round(c, 6) AS cosine FROM (
+  SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS k FROM p WHERE c >= 0.3) WHERE k <= 3""")
 def vector_pairs(spark, sf_dir):
-    """The three closest vectors of the next document for every fiftieth vector."""
+    """The three closest vectors of all other documents for each asking vector (ids divisible by 100)."""
     rows = table(spark, sf_dir, "embeddings")
-    asks = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("e"), (F.col("label") + 1).alias("label"))
-    pairs = rows.withColumnRenamed("vec_id", "right_id").join(asks, "label").select("left_id", "right_id", v.cosine(F.col("e"), F.col("embedding")).alias("c"))
-    best = pairs.withColumn("k", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("c"), "right_id"))).where("k <= 3")
-    return best.select("left_id", "right_id", F.round("c", 6).alias("cosine"))
+    return closest(rows.where("vec_id % 100 = 0"), rows, 3, 0.3).select("left_id", "right_id", "rank", F.round("score", 6).alias("cosine"))
 
 
 @query("p10_embedding_batches", "SELECT label, (k - 1) // 16 AS batch, count(*)::BIGINT AS n, min(vec_id)::BIGINT AS first FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) GROUP BY 1, 2")

@@ -80,16 +80,25 @@ def dedupe(spark, sf_dir):
 
 
 @query("r04_concurrency", """
-WITH e AS (SELECT epoch_us(ts) AS t, 1 AS d, event_id FROM events UNION ALL SELECT epoch_us(ts) + 60000000, -1, event_id FROM events)
-SELECT user_bucket, max(open)::BIGINT AS most FROM (SELECT t // 86400000000 AS user_bucket, sum(d) OVER (PARTITION BY t // 86400000000 ORDER BY t, d, event_id ROWS UNBOUNDED PRECEDING) AS open FROM e) GROUP BY 1""")
+WITH e AS (SELECT epoch_us(ts) AS t FROM events),
+p AS (SELECT t FROM e UNION ALL SELECT DISTINCT d * 86400000000 FROM (SELECT t // 86400000000 AS d FROM e UNION ALL SELECT (t + 60000000) // 86400000000 FROM e)),
+n AS (SELECT p.t, count(e.t) AS open FROM (SELECT DISTINCT t FROM p) p LEFT JOIN e ON e.t <= p.t AND e.t > p.t - 60000000 GROUP BY p.t)
+SELECT t // 86400000000 AS user_bucket, max(open)::BIGINT AS most FROM n GROUP BY 1""")
 def concurrency(spark, sf_dir):
-    """The most leases of a minute that are open at once, by day; a lease that ends frees its place first."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    events = table(spark, sf_dir, "events")
-    steps = events.select(at.alias("t"), F.lit(1).alias("d"), "event_id").union(events.select(at + 60_000_000, F.lit(-1), "event_id"))
-    day = F.floor(F.col("t") / 86_400_000_000)
-    running = F.sum("d").over(Window.partitionBy("day").orderBy("t", "d", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("day", day).withColumn("open", running).groupBy(F.col("day").alias("user_bucket")).agg(F.max("open").alias("most"))
+    """The most leases of a minute that are open at once, by day; a lease that ends frees its place first.
+
+    A lease is open in the minute it starts in and the next one, so minutes are counted by themselves, each from the
+    leases of the minute before. A day begins with those still open at midnight.
+    """
+    minute, day = 60_000_000, 86_400_000_000
+    starts = table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    steps = starts.select("t", F.lit(1).alias("d")).union(starts.select(F.col("t") + minute, F.lit(-1)))
+    midnights = steps.select((F.floor(F.col("t") / day) * day).alias("t"), F.lit(0).alias("d")).distinct()
+    steps = steps.union(midnights).withColumn("m", F.floor(F.col("t") / minute))
+    carried = starts.groupBy((F.floor(F.col("t") / minute) + 1).alias("m")).agg(F.count("*").alias("carried"))
+    running = F.sum("d").over(Window.partitionBy("m").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0))
+    opened = steps.withColumn("open", running).join(carried, "m", "left").withColumn("open", F.col("open") + F.coalesce("carried", F.lit(0)))
+    return opened.where("d >= 0").groupBy(F.floor(F.col("t") / day).alias("user_bucket")).agg(F.max("open").alias("most"))
 
 
 @query("r08_delivery_repair", """

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.sources.markup import page_blocks
-from inkspark.streaming.events import shared_folder
+from inkspark.sources.tables import shared_folder
 
 __all__ = ["entries", "published", "shared_folder", "zipped"]
 

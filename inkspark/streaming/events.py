@@ -6,8 +6,6 @@ there; a second run reads only files that came since.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,11 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; under a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from inkspark.sources.tables import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
@@ -82,19 +76,18 @@ def broken(stream: DataFrame, failures: int = 2, cool_down: float = 3600) -> Dat
 
 
 def merge_batch(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that adds rows whose keys it doesn't hold yet. Each batch is a folder, written over if the batch comes
-    again, so a replay adds nothing twice."""
+    """A sink that adds rows whose keys it doesn't hold yet. Each batch is a partition of one table, written over if the
+    batch comes again, so a replay adds nothing twice. A batch reads the keys of the partitions before it once."""
 
     def write(batch: DataFrame, number: int) -> None:
         from pyspark.errors import AnalysisException
 
         spark, new = batch.sparkSession, batch.dropDuplicates(keys)
-        for k in range(number):
-            try:
-                held = spark.read.parquet(f"{folder}/batch={k}")
-            except AnalysisException:  # that batch was empty
-                continue
+        try:
+            held = spark.read.parquet(folder).where(F.col("batch") < number).select(*keys)
             new = new.join(held, keys, "left_anti")
+        except AnalysisException:  # nothing is held yet
+            pass
         new.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return write
