@@ -45,14 +45,26 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
         left = cut(left.withColumn("fixed", F.when(above, cap).otherwise(F.col("fixed"))))
 
 
+def horizon(aims: DataFrame, budget: int, epochs: int) -> float:
+    """A virtual time by which copies of at least ``budget`` words have finished.
+
+    By time t a source has finished t times its target but for one document, or all its copies. Of times that grow by
+    powers of two beyond 1 the first that is late enough for the sum over all sources is taken.
+    """
+    tried = aims.withColumn("t", F.explode(F.array(*(F.lit(1 + 2.0**i) for i in range(-8, 40)))))
+    served = F.least(epochs * F.col("source_size"), F.greatest(F.lit(0.0), F.col("t") * F.col("target") - F.col("longest")))
+    enough = tried.groupBy("t").agg(F.sum(served).alias("served")).where(F.col("served") >= budget)
+    return enough.agg(F.coalesce(F.min("t"), F.lit(float("inf")))).first()[0]
+
+
 def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """(doc_id, source, tie, row, size, source_size, target, copies) for every row of ``docs``. ``tie`` is a hash of the
     text, and ``row`` counts the rows that are equal in all three.
 
     Documents of a source are shuffled by a seeded hash, so reruns agree. The e-th copy of a document finishes at
     virtual time ((e - 1) * source size + cumulative size) / target. All copies are sorted by that time over ranges and
-    the longest prefix within the budget, the sum of all sizes, is taken. A copy that can't be in it is never made: no
-    source falls behind its share by more than its longest document. Documents without words cost nothing and are
+    the longest prefix within the budget, the sum of all sizes, is taken. Copies that finish after a time by which the
+    budget is used up for certain (``horizon``) are never made. Documents without words cost nothing and are
     taken once. Rows that are equal in all of doc_id, source and text share their places among them in any order. Null
     sources are one source; extra columns are ignored; an empty table gives an empty result.
     """
@@ -64,14 +76,11 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, epochs: int = EPOCHS)
     timed = inside.alias("d").join(aims.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
         "d.*", "t.source_size", "t.target")
     timed = cut(timed)
-    behind, moving, budget = aims.agg(
-        F.coalesce(F.sum("longest"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("target") < epochs * F.col("source_size"), F.col("target"))), F.lit(0.0)),
-        F.coalesce(F.sum("source_size"), F.lit(0))).first()
-    horizon = 1 + behind / moving if moving else float("inf")
+    budget = aims.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     copies = (
         timed.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
         .withColumn("finish", ((F.col("epoch") - 1) * F.col("source_size") + F.col("cumulative")) / F.col("target"))
-        .where(F.col("finish") <= F.lit(horizon))
+        .where(F.col("finish") <= F.lit(horizon(aims, budget, epochs)))
         .select("finish", "source", "shuffled", "doc_id", "tie", "epoch", "size"))
     queue = ["finish", "source", "shuffled", "doc_id", "tie", "epoch"]
     queued = running_sum(range_numbered(copies, *queue), "size", "served", queue)

@@ -104,6 +104,38 @@ def test_mixing_is_close_for_even_documents(spark):
     assert all(abs(taken[s] - aims[s]) <= 20 for s in aims)
 
 
+@pytest.mark.parametrize("case", range(4))
+def test_mixing_is_the_queue(spark, case):
+    """Copies taken are those of a queue played through one by one, long documents and sources near their cap included."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(case)
+    sizes = [
+        [("a", 10)] * 214 + [("b", 40)] * 140 + [("c", 2500)], [(rng.choice("abcdef"), int(rng.paretovariate(1)) + 1) for _ in range(300)],
+        [("a", 1000), (None, 7), ("b", 1), ("b", 1)], [(f"s{i}", rng.randrange(1, 400)) for i in range(40) for _ in range(rng.randrange(1, 6))]][case]
+    rows = [(i, " ".join(["w"] * n), None, source, 0) for i, (source, n) in enumerate(sizes)]
+    df = frame(spark, rows)
+    shuffled = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text"))).collect()}
+    of, queue = defaultdict(list), []
+    for i, (source, n) in enumerate(sizes):
+        of[source].append((shuffled[i], i, n))
+    aims = plain_targets({source: sum(n for _, _, n in own) for source, own in of.items()})
+    for source, own in of.items():
+        served = 0
+        for epoch in (1, 2, 3):
+            for order, i, n in sorted(own):
+                served += n
+                queue.append((served / aims[source], source is not None, source or "", order, i, epoch, n))
+    budget, expected = sum(n for _, n in sizes), Counter()
+    for *_, i, epoch, n in sorted(queue):
+        if n > budget:
+            break
+        budget -= n
+        expected[i] += n
+    got = {r["doc_id"]: r["copies"] * r["size"] for r in mixing.mix(df).collect()}
+    assert got == {i: expected[i] for i in range(len(sizes))}
+
+
 def test_mixing_empty(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
     assert [r["copies"] for r in mixing.mix(frame(spark, [(1, None, None, None, None)])).collect()] == [1]
