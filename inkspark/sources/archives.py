@@ -34,6 +34,29 @@ def zipped(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, content binary")
 
 
+def faulty(pages: DataFrame) -> DataFrame:
+    """(page_id, content): archives with a fault by the id's remainder: 0 a name that leaves the folder, 1 cut short, 2 an
+    entry that grows too much, 3 a changed byte, 4 none."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+                fault, buffer = page_id % 5, io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED if fault == 3 else zipfile.ZIP_DEFLATED) as book:
+                    name = "../chapter.xhtml" if fault == 0 else "text/chapter1.xhtml"
+                    book.writestr(zipfile.ZipInfo(name), " " * 3_000_000 if fault == 2 else html or "<p>x</p>", zipfile.ZIP_DEFLATED if fault == 2 else None)
+                content = bytearray(buffer.getvalue())
+                if fault == 1:
+                    del content[len(content) // 2 :]
+                if fault == 3:
+                    content[30 + len("text/chapter1.xhtml")] ^= 1
+                out.append(bytes(content))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.binary())], ["page_id", "content"])
+
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, content binary")
+
+
 def problem(book: zipfile.ZipFile, size: int) -> str | None:
     """Why an archive isn't read: too many or too large entries, too good a ratio, or unsafe names."""
     infos = book.infolist()
@@ -59,6 +82,8 @@ def entries(books: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as book:
                         bad = problem(book, len(content))
+                        if not bad and book.testzip():
+                            bad = "CHECKSUM"
                         found = [(None, None, 0, bad)] if bad else []
                         for name in [] if bad else sorted(book.namelist()):
                             kinds = [b[0] for b in page_blocks(book.read(name).decode("utf-8", "replace"))]

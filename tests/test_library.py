@@ -222,3 +222,76 @@ def test_archives(spark):
     df = spark.createDataFrame([(1, book("text/a.xhtml")), (2, book("../a.xhtml")), (3, bytearray(b"PK no zip")), (4, None)], "page_id long, content binary")
     got = sorted((r["page_id"], r["kind"] or "", r["blocks"], r["error"]) for r in archives.entries(df).collect())
     assert got == [(1, "HEADING", 1, None), (1, "PARAGRAPH", 2, None), (2, "", 0, "PATH"), (3, "", 0, "CORRUPT"), (4, "", 0, "CORRUPT")]
+
+
+def test_run_text(spark):
+    """Breaks by moves of the baseline and by gaps, none twice; runs without text move the pen but make no break."""
+    from inkspark.operators import records
+
+    rows = [
+        (1, 0, "Head", 0.0, 100.0, 40.0, 10.0, True), (1, 1, "first", 0.0, 80.0, 50.0, 10.0, False), (1, 2, "line", 52.0, 80.0, 40.0, 10.0, False),
+        (1, 3, "s", 92.5, 83.0, 5.0, 10.0, False), (1, 4, " next", 110.0, 80.0, 40.0, 10.0, False), (1, 5, "", 200.0, 60.0, 0.0, 10.0, False),
+        (1, 6, "end", 201.0, 60.0, 30.0, 10.0, False), (1, 7, None, 0.0, 40.0, 0.0, 10.0, False), (1, 8, "x  ", 0.0, 40.0, 5.0, None, True), (2, 0, "", 0.0, 0.0, 0.0, 1.0, False)]
+    runs = spark.createDataFrame(rows, "page long, i int, str string, x double, y double, width double, height double, eol boolean").where("str is not null")
+    assert {r["page"]: r["text"] for r in records.run_text(runs).collect()} == {1: "Head\nfirst lines nextend\nx", 2: ""}
+
+
+def test_origins(spark):
+    from inkspark.operators import records
+
+    chain = [(i, i - 1 if i else None, i > 0) for i in range(70)]
+    odd = [(100, 101, True), (101, 100, True), (102, 999, True), (103, None, True), (104, 3, False)]
+    got = {r["id"]: (r["origin"], r["edits"], r["error"]) for r in records.origins(spark.createDataFrame(chain + odd, "id long, parent long, edited boolean")).collect()}
+    assert all(got[i] == ((0, i, None) if i <= 64 else (None, None, "PARENT_INVALID")) for i in range(70))
+    assert all(got[i][2] == "PARENT_INVALID" for i in (100, 101, 102, 103)) and got[104] == (104, 0, None)
+
+
+def test_upsert_and_archive(spark):
+    from inkspark.operators import records
+
+    held = spark.createDataFrame([(1, "a", 5, 5), (2, "b", 6, 6)], "k long, state string, created int, at int")
+    new = spark.createDataFrame([(1, "c", 3, 3), (1, "d", 4, 4), (3, "e", 9, 9)], "k long, state string, created int, at int")
+    got = sorted(map(tuple, records.upserted(held, new, ["k"], ["at"], ["created"]).collect()))
+    assert got == [(1, "d", 5, 4), (2, "b", 6, 6), (3, "e", 9, 9)]
+    items = spark.createDataFrame([(1, None), (2, 7), (3, None)], "id long, archived_at long")
+    marks = spark.createDataFrame([(1, 9), (1, 8), (2, 1), (5, 1)], "id long, at long")
+    assert sorted(map(tuple, records.archived(items, marks, "id").collect()), key=str) == [(1, 8), (2, 7), (3, None)]
+
+
+def test_admission_skips_what_is_refused(spark):
+    from inkspark.operators import ordering
+
+    rows = [(1, i, float(x)) for i, x in enumerate((60, 50, 40, 1, 0, -5, None or 0.5))] + [(2, 0, 100.0), (2, 1, 0.5)]
+    got = ordering.admitted(spark.createDataFrame(rows, "k long, i int, cost double"), ["k"], ["i"], "cost", 100).collect()
+    assert {(r["k"], r["i"]): r["within_limit"] for r in got} == {
+        (1, 0): True, (1, 1): False, (1, 2): True, (1, 3): False, (1, 4): True, (1, 5): True, (1, 6): False, (2, 0): True, (2, 1): False}
+
+
+def test_nearest_ranks(spark):
+    from inkspark.operators import ordering
+
+    rows = [(i % 7, None if i % 3 else i) for i in range(100)]
+    got = ordering.nearest_ranks(spark.createDataFrame(rows, "a int, b int"), ["a", "b"], [0.5, 0.95]).first()
+    plain = lambda xs, p: sorted(xs)[max(0, math.ceil(p * len(xs)) - 1)]
+    a, b = [r[0] for r in rows], [r[1] for r in rows if r[1] is not None]
+    assert got["a_p50"] == plain(a, 0.5) and got["a_p95"] == plain(a, 0.95) and got["b_p50"] == plain(b, 0.5) and got["b_p95"] == plain(b, 0.95)
+    assert ordering.nearest_ranks(spark.createDataFrame([], "a int"), ["a"], [0.5]).first()["a_p50"] is None
+
+
+def test_whole_texts_are_redacted_and_compared(spark):
+    import hashlib
+    import re
+    import unicodedata
+
+    texts = ["Das Passwort: geheim, token=abc; PASSWORD = \"zwei Worte\" müde", "ｆｕｌｌ  ｗｉｄｔｈ ﬁn\nx ", "é" * 40 + " " + "k" * 33, None, "", "api_key:\tx authorization = y,z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from inkspark.functions import pieces
+
+    def plain(text):
+        keyed = re.sub(r"(?ai)\b(token|secret|password|api[_-]?key|authorization)([ \t\n\x0b\f\r]*[=:][ \t\n\x0b\f\r]*)(\"[^\"]*\"|[^ \t\n\x0b\f\r,;]+)", r"\1\2[REDACTED]", text)
+        return re.sub(r"(?a)\b[A-Za-z0-9_-]{32,}\b", "[REDACTED]", keyed)
+
+    got = {r["doc_id"]: (r["a"], r["b"]) for r in docs.select("doc_id", t.redacted(F.col("text")).alias("a"), pieces.compare_key("text").alias("b")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == ((None, None) if text is None else (plain(text), " ".join(unicodedata.normalize("NFKC", text).split())))
+    assert hashlib.sha256(b"").hexdigest() in {r["digest"] for r in docs.select(F.sha2(pieces.compare_key("text"), 256).alias("digest")).collect()}
