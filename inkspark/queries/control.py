@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkspark.operators import admission
 from inkspark.queries import query
 from inkspark.sources.tables import table
 from inkspark.streaming import events as e
@@ -73,13 +74,28 @@ def capacity(spark, sf_dir):
 
 
 @query("p25_grounding", """
-SELECT l_orderkey, concat_ws(',', CASE WHEN bool_or(p_partkey IS NULL) THEN 'UNKNOWN_EVIDENCE' END, CASE WHEN count(DISTINCT l_partkey) < count(*) THEN 'REPEATED' END, CASE WHEN sum(l_quantity) < 20 THEN 'THIN' END) AS codes
-FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 2) ON l_partkey = p_partkey GROUP BY l_orderkey""")
+WITH u AS (SELECT conv_id AS run, turn, text, turn % 3 <> 0 AS substantive, turn % 4 = 1 AS direct, length(text) AS n FROM conversations),
+e AS (SELECT *, CASE WHEN turn % 11 = 5 THEN n - 3 ELSE 0 END AS a, CASE WHEN turn % 11 = 5 THEN n + 2 WHEN turn % 11 = 7 THEN 0 ELSE least(n, 12) END AS b,
+    CASE WHEN turn % 7 <> 2 THEN substr(text, 1, 12) || CASE WHEN turn % 13 = 6 THEN '?' ELSE '' END END AS quote FROM u WHERE turn % 5 <> 4),
+f AS (
+  SELECT run, 'UNSUPPORTED' AS code FROM u WHERE substantive AND turn % 5 = 4
+  UNION ALL SELECT run, 'QUOTE_EVIDENCE_TEXT_MISSING' FROM u LEFT JOIN (SELECT run AS r, turn AS t, quote FROM e) ON r = run AND t = turn WHERE direct AND coalesce(quote, '') = ''
+  UNION ALL SELECT run, 'INVALID_OFFSETS' FROM e WHERE a < 0 OR b <= a OR b > n
+  UNION ALL SELECT run, 'QUOTE_EVIDENCE_MISMATCH' FROM e WHERE quote IS NOT NULL AND substr(text, (greatest(a, 0) + 1)::BIGINT, greatest(0, least(b, n) - greatest(a, 0))::BIGINT) <> quote
+  UNION ALL SELECT run, 'QUOTE_NOT_EXACT' FROM e WHERE direct AND quote <> '' AND NOT contains(text, quote)
+  UNION ALL SELECT run, 'FABRICATED_BIOGRAPHY' FROM u WHERE regexp_matches(text, '(?i)I once worked at|when I worked at'))
+SELECT run, code, count(*)::BIGINT AS n FROM f GROUP BY run, code""")
 def grounding(spark, sf_dir):
-    known = table(spark, sf_dir, "part").where("p_size > 2").select("p_partkey")
-    joined = table(spark, sf_dir, "lineitem").join(known, F.col("l_partkey") == F.col("p_partkey"), "left")
-    checks = {"UNKNOWN_EVIDENCE": F.bool_or(F.col("p_partkey").isNull()), "REPEATED": F.size(F.collect_set("l_partkey")) < F.count("*"), "THIN": F.sum("l_quantity") < 20}
-    return joined.groupBy("l_orderkey").agg(F.concat_ws(",", *(F.when(bad, code) for code, bad in checks.items())).alias("codes"))
+    """Turns as utterances that cite themselves, with faults by their numbers."""
+    turns = table(spark, sf_dir, "conversations")
+    turn, n, key = F.col("turn"), F.length("text"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    said = turns.select(F.col("conv_id").alias("run"), key.alias("utterance"), "text", (turn % 3 != 0).alias("substantive"), (turn % 4 == 1).alias("direct"))
+    evidence = turns.where("turn % 5 <> 4").select(
+        key.alias("evidence"), key.alias("utterance"), key.alias("block"), F.when(turn % 11 == 5, n - 3).otherwise(0).alias("first"),
+        F.when(turn % 11 == 5, n + 2).when(turn % 11 == 7, 0).otherwise(F.least(n, F.lit(12))).alias("last"),
+        F.when(turn % 7 != 2, F.concat(F.substring("text", 1, 12), F.when(turn % 13 == 6, "?").otherwise(""))).alias("quote"))
+    failures = admission.podcast_grounding(said, evidence, turns.select(key.alias("block"), F.col("text").alias("content")))
+    return failures.groupBy("run", "code").agg(F.count("*").alias("n"))
 
 
 @query("p29_frozen_selection", """

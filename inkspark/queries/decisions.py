@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from inkspark.operators import admission
 from inkspark.operators import decisions as d
 from inkspark.queries import query
 from inkspark.sources.tables import table
@@ -130,14 +131,37 @@ def status_groups(spark, sf_dir):
 
 
 @query("p21_failover", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_tax = 0 THEN 'NOT_ENABLED' WHEN l_linestatus = 'O' AND l_quantity < 5 THEN 'IN_FLIGHT' WHEN l_returnflag = 'R' THEN 'CONTENT_REJECTED'
-  WHEN l_discount >= 0.09 THEN 'BUDGET' WHEN l_linenumber >= 6 THEN 'ATTEMPT_LIMIT' ELSE 'SWITCH' END AS decision FROM lineitem""")
+WITH x AS (
+  SELECT o_orderkey AS k, o_orderkey % 29 AS a, (o_orderkey // 29) % 7 AS e, (o_orderkey // 203) % 5 AS s, o_custkey % 4 AS o FROM orders),
+y AS (
+  SELECT *, ['TIMEOUT', 'RATE_LIMITED', 'CONTENT_REJECTED', 'CANCELLED', 'OUTPUT_TRUNCATED', 'QUOTA_EXCEEDED', 'OTHER'][(e + 1)::INTEGER] AS error,
+    ['NOT_SENT', 'PROVIDER_CONFIRMED_UNBILLED', 'PAID_AND_RECONCILED', 'UNKNOWN'][(o + 1)::INTEGER] AS outcome FROM x)
+SELECT k AS o_orderkey, CASE
+  WHEN a IN (0, 1) THEN 'NOT_ENABLED' WHEN a IN (2, 3) THEN 'UNSEALED_PLAN' WHEN a IN (4, 5) THEN 'IN_FLIGHT' WHEN error = 'CONTENT_REJECTED' THEN 'CONTENT_POLICY_REVIEW_REQUIRED'
+  WHEN error = 'CANCELLED' THEN 'UNSAFE_FAILURE_CLASS' WHEN outcome = 'UNKNOWN' THEN 'UNKNOWN_BILLING' WHEN a = 6 THEN 'NO_PAID_CALL_AUTHORIZATION' WHEN a = 7 THEN 'BUDGET_EXHAUSTED'
+  WHEN a = 8 THEN 'ATTEMPT_LIMIT_REACHED' WHEN a = 9 THEN 'NO_BACKUP' WHEN a = 10 THEN 'ATTEMPT_LIMIT_REACHED' WHEN a = 11 THEN 'REPEATED_MODEL' WHEN a IN (12, 13) THEN 'UNPINNED_ROUTE'
+  WHEN NOT (outcome = 'PAID_AND_RECONCILED' AND error = 'OUTPUT_TRUNCATED' OR outcome IN ('NOT_SENT', 'PROVIDER_CONFIRMED_UNBILLED') AND error IN ('TIMEOUT', 'RATE_LIMITED', 'QUOTA_EXCEEDED')) THEN 'UNSAFE_FAILURE_CLASS'
+  WHEN s = 0 THEN 'EMBEDDING_REINDEX_REQUIRED' WHEN s = 1 THEN 'VISION_PROVIDER_CONSENT_REQUIRED' WHEN s = 2 AND a < 20 THEN 'INDEPENDENT_REVIEW_REQUIRED' WHEN s = 3 AND a < 20 THEN 'SPEECH_VOICE_MAPPING_REQUIRED'
+  WHEN a = 28 OR s = 2 AND a = 27 THEN 'INCOMPATIBLE_CAPABILITY' END AS hold FROM y""")
 def failover(spark, sf_dir):
-    """Hold reasons in a fixed order, else the next candidate."""
-    decision = d.first_of(
-        (F.col("l_tax") == 0, "NOT_ENABLED"), ((F.col("l_linestatus") == "O") & (F.col("l_quantity") < 5), "IN_FLIGHT"), (F.col("l_returnflag") == "R", "CONTENT_REJECTED"),
-        (F.col("l_discount") >= 0.09, "BUDGET"), (F.col("l_linenumber") >= 6, "ATTEMPT_LIMIT"), otherwise="SWITCH")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", decision.alias("decision"))
+    """Orders as failed calls: their keys' remainders say which of the conditions of a switch doesn't hold."""
+    a, pick = F.col("a"), lambda names, c: F.element_at(F.array(*map(F.lit, names.split())), (F.col(c) + 1).cast("int"))
+    calls = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") % 29).alias("a"), (F.floor(F.col("o_orderkey") / 29) % 7).alias("e"), (F.floor(F.col("o_orderkey") / 203) % 5).alias("s"), (F.col("o_custkey") % 4).alias("o"))
+
+    def candidate(k: int):
+        model = F.when((a == 11) & F.lit(k == 1), "m0").otherwise(f"m{k}")
+        return F.struct(
+            F.lit("p").alias("provider"), model.alias("model"), F.when(a != 12, "c").alias("connection"), F.lit("v").alias("credential"),
+            F.when(a == 13, "PLATFORM").otherwise("WORKSPACE").alias("source"), (a != 28).alias("capable"), (a != 27).alias("structured"))
+
+    typed = calls.select(
+        "o_orderkey", (a != 0).alias("enabled"), F.when(a == 1, 0).when(a == 8, 3).otherwise(2).alias("most"), (a != 2).alias("authority"), (a != 3).alias("sealed"), (a != 4).alias("terminal"),
+        F.when(a != 5, True).alias("unclaimed"), pick("TIMEOUT RATE_LIMITED CONTENT_REJECTED CANCELLED OUTPUT_TRUNCATED QUOTA_EXCEEDED OTHER", "e").alias("error"),
+        pick("NOT_SENT PROVIDER_CONFIRMED_UNBILLED PAID_AND_RECONCILED UNKNOWN", "o").alias("outcome"), (a != 6).alias("may_pay"), (a != 7).alias("has_budget"),
+        F.when(a == 10, 1).otherwise(0).alias("switches"), F.when(a == 9, 2).otherwise(0).alias("at"), F.array(*map(candidate, range(3))).alias("candidates"),
+        pick("EMBEDDING PDF_VISUAL_STRUCTURE BOOK_SEMANTIC_REVIEW SPEECH CHAT", "s").alias("slot"), (a >= 20).alias("independent"), (a >= 20).alias("voice"))
+    return typed.select("o_orderkey", admission.failover_hold().alias("hold"))
 
 
 @query("p19_identity_promotion", """

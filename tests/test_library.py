@@ -295,3 +295,48 @@ def test_whole_texts_are_redacted_and_compared(spark):
     for i, text in enumerate(texts):
         assert got[i] == ((None, None) if text is None else (plain(text), " ".join(unicodedata.normalize("NFKC", text).split())))
     assert hashlib.sha256(b"").hexdigest() in {r["digest"] for r in docs.select(F.sha2(pieces.compare_key("text"), 256).alias("digest")).collect()}
+
+
+def test_failover_reaches_every_reason(spark):
+    from inkspark.operators import admission
+
+    good = dict(enabled=True, authority=True, sealed=True, terminal=True, unclaimed=True, may_pay=True, has_budget=True, independent=True, voice=True, error="TIMEOUT", outcome="NOT_SENT", slot="CHAT", switches=0, most=2, at=0)
+    one = dict(provider="p", model="m0", connection="c", credential="v", source="WORKSPACE", capable=True, structured=True)
+    chain = [one, one | {"model": "m1"}, one | {"model": "m2"}]
+    cases = [
+        ({}, chain, None), ({"enabled": None}, chain, "NOT_ENABLED"), ({"most": 0}, chain, "NOT_ENABLED"), ({"sealed": False}, chain, "UNSEALED_PLAN"), ({"unclaimed": False}, chain, "IN_FLIGHT"),
+        ({"error": "CONTENT_REJECTED", "outcome": "UNKNOWN"}, chain, "CONTENT_POLICY_REVIEW_REQUIRED"), ({"error": "CREDENTIAL_REVOKED"}, chain, "UNSAFE_FAILURE_CLASS"), ({"outcome": "UNKNOWN"}, chain, "UNKNOWN_BILLING"),
+        ({"may_pay": False}, chain, "NO_PAID_CALL_AUTHORIZATION"), ({"has_budget": False}, chain, "BUDGET_EXHAUSTED"), ({"switches": 2}, chain, "ATTEMPT_LIMIT_REACHED"), ({"most": 3}, chain, "ATTEMPT_LIMIT_REACHED"),
+        ({"at": 2}, chain, "NO_BACKUP"), ({"at": -1}, chain, "NO_BACKUP"), ({}, chain[:1], "NO_BACKUP"), ({"switches": 1}, chain, "ATTEMPT_LIMIT_REACHED"), ({}, [one, one], "REPEATED_MODEL"),
+        ({"at": 1, "switches": 1}, [one, chain[1], one], "REPEATED_MODEL"), ({}, [one, chain[1] | {"connection": None}], "UNPINNED_ROUTE"), ({"error": "OUTPUT_TRUNCATED"}, chain, "UNSAFE_FAILURE_CLASS"),
+        ({"error": "OUTPUT_TRUNCATED", "outcome": "PAID_AND_RECONCILED"}, chain, None), ({"slot": "EMBEDDING"}, chain, "EMBEDDING_REINDEX_REQUIRED"), ({"slot": "PDF_VISUAL_STRUCTURE"}, chain, "VISION_PROVIDER_CONSENT_REQUIRED"),
+        ({"slot": "BOOK_SEMANTIC_REVIEW", "independent": None}, chain, "INDEPENDENT_REVIEW_REQUIRED"), ({"slot": "SPEECH", "voice": False}, chain, "SPEECH_VOICE_MAPPING_REQUIRED"),
+        ({"slot": "PODCAST_SCRIPT"}, [one, chain[1] | {"structured": False}], "INCOMPATIBLE_CAPABILITY"), ({}, [one, chain[1] | {"capable": False}], "INCOMPATIBLE_CAPABILITY")]
+    schema = ("i int, enabled boolean, authority boolean, sealed boolean, terminal boolean, unclaimed boolean, may_pay boolean, has_budget boolean, independent boolean, voice boolean, error string, outcome string, slot string, "
+              "switches int, most int, at int, candidates array<struct<provider:string,model:string,connection:string,credential:string,source:string,capable:boolean,structured:boolean>>")
+    rows = [(i, *(good | changed).values(), [tuple(x.values()) for x in candidates]) for i, (changed, candidates, _) in enumerate(cases)]
+    got = spark.createDataFrame(rows, schema).select("i", admission.failover_hold().alias("hold")).collect()
+    assert {r["i"]: r["hold"] for r in got} == {i: hold for i, (_, _, hold) in enumerate(cases)}
+
+
+def test_grounding_reaches_every_code(spark):
+    import hashlib
+
+    from inkspark.operators import admission
+
+    blocks = spark.createDataFrame([("b", "a😀 quoted text of a book"), ("long", "x" * 900)], "block string, content string")
+    said = [(1, i, text, sub, direct) for i, (text, sub, direct) in enumerate([("fine", False, False), ("bare", True, False), ("When I worked at a mill", False, False), ("says quoted", True, True), ("says other", True, True), ("no quote", False, True), ("off", True, False)])]
+    cited = [("e3", 3, "b", 4, 10, "quoted"), ("e4", 4, "b", 4, 10, "quoted"), ("e5", 5, "b", 0, 1, None), ("e6", 6, "b", 4, 99, "quoted"), ("e7", 6, "b", 4, 10, "other")]
+    got = admission.podcast_grounding(
+        spark.createDataFrame(said, "run int, utterance int, text string, substantive boolean, direct boolean"),
+        spark.createDataFrame(cited, "evidence string, utterance int, block string, first int, last int, quote string"), blocks).collect()
+    assert {(r["code"], r["id"]) for r in got} == {
+        ("UNSUPPORTED", "1"), ("FABRICATED_BIOGRAPHY", "2"), ("QUOTE_NOT_EXACT", "4"), ("QUOTE_EVIDENCE_TEXT_MISSING", "5"), ("INVALID_OFFSETS", "e6"), ("QUOTE_EVIDENCE_MISMATCH", "e6"), ("QUOTE_EVIDENCE_MISMATCH", "e7")}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    scenes = spark.createDataFrame([(1, 1, "CLAIM", "n" * 100), (2, 1, "QUOTE", "n" * 100), (3, 1, "INTRO", "n"), (4, 1, "CLAIM", "n" * 9000)], "run int, scene int, kind string, narration string")
+    held = [("v1", 1, 1, "l", "b", 4, 10, "quoted", digest("quoted")), ("v4", 4, 1, "other", "b", 0, 2, None, None), ("v5", 4, 1, "l", "b", 3, 3, None, None), ("v6", 4, 1, "l", "b", 4, 10, "quotes", "x"), ("v7", 4, 1, "l", "long", 0, 400, "x" * 400, digest("x" * 400))]
+    got = admission.video_grounding(
+        scenes, spark.createDataFrame(held, "evidence string, run int, scene int, lineage string, block string, first int, last int, quote string, digest string"), blocks,
+        spark.createDataFrame([(1, "l"), (4, "l")], "run int, lineage string")).collect()
+    every = ["GROUNDING_FOREIGN_LINEAGE", "GROUNDING_OFFSET_INVALID", "GROUNDING_QUOTE_BUDGET_EXCEEDED", "GROUNDING_QUOTE_HASH_MISMATCH", "GROUNDING_QUOTE_MISMATCH", "GROUNDING_SURROGATE_SPLIT"]
+    assert {r["run"]: r["codes"] for r in got} == {1: [], 2: ["GROUNDING_EVIDENCE_REQUIRED"], 3: [], 4: every}
