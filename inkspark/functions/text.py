@@ -127,9 +127,12 @@ def sanitized_log(text: Column, most: int = 6144) -> Column:
 
 
 def hard_pieces(text: Column, most: int) -> Column:
-    """Pieces of ``most`` code points, one at least; for texts of the basic plane these are UTF-16 units too."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / most)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * most + 1, F.lit(most)))
+    """Pieces of ``most`` UTF-16 units, one at least; a cut that would split a pair falls before it."""
+    n = F.greatest(F.lit(1), F.ceil(units(text) / most)).cast("int")
+    plain = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * most + 1, F.lit(most)))
+    cut = lambda i: F.least(i * most, units(text)) - F.when(splits_pair(text, i * most), 1).otherwise(0)
+    paired = F.transform(F.sequence(F.lit(0), n - 1), lambda i: units_slice(text, cut(i), cut(i + 1)))
+    return F.when(units(text) == F.length(text), plain).otherwise(paired)
 
 
 def sentence_atoms(text: Column, most: int = 48) -> Column:

@@ -6,9 +6,11 @@ import hashlib
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspark.functions.text import units
+
 LEVELS = range(1, 7)
 
 
@@ -30,9 +32,50 @@ def structure(blocks: DataFrame) -> DataFrame:
     return wide.join(last, "doc_id").select("doc_id", "ordinal", "level", parent.alias("parent"), F.coalesce(following - 1, "_last").alias("end"))
 
 
+def heading_level(text: Column, given: Column) -> Column:
+    """A given level of 1 to 6, else the number of marks before a title, else 2."""
+    marks = F.length(F.regexp_extract(text, r"^(#{1,6})\s+\S", 1))
+    return F.when(given.between(1, 6), given).when(marks > 0, marks).otherwise(2).cast("int")
+
+
+def tree(blocks: DataFrame) -> DataFrame:
+    """(doc_id, node, kind, depth, title, first, last, parent) from blocks (doc_id, ordinal, text, kind, page, level).
+
+    Node 0 is the root and holds all blocks. Headings are numbered in order; a document without any has one group
+    instead, of pages if its blocks name pages. ``level`` is what metadata say of a heading, of any value or null.
+    """
+    whole = blocks.groupBy("doc_id").agg(
+        F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.bool_or(F.col("kind") == "HEADING").alias("headed"), F.count("page").alias("paged"))
+    titled = F.when(F.col("text").rlike(r"^#{1,6}\s+\S"), F.regexp_extract("text", r"(?s)^#{1,6}\s+(.*?)\s*$", 1)).otherwise(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    level = F.when(F.col("kind") == "HEADING", heading_level(F.col("text"), F.col("level")))
+    spans = structure(blocks.select("doc_id", "ordinal", level.alias("level")))
+    titles = blocks.where("kind = 'HEADING'").select("doc_id", "ordinal", titled.alias("title"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal"))
+    nodes = spans.join(titles, ["doc_id", "ordinal"]).withColumn("node", number)
+    parents = nodes.select("doc_id", F.col("ordinal").alias("parent"), F.col("node").alias("above"))
+    kind = F.when(F.col("level") == 1, "CHAPTER").when(F.col("level") == 2, "SECTION").otherwise("SUBSECTION")
+    headings = nodes.join(parents, ["doc_id", "parent"], "left").select(
+        "doc_id", "node", kind.alias("kind"), F.col("level").alias("depth"), "title", F.col("ordinal").alias("first"), F.col("end").alias("last"), F.coalesce("above", F.lit(0)).alias("parent"))
+    none = lambda kind: F.lit(None).cast(kind)
+    roots = whole.select("doc_id", F.lit(0).alias("node"), F.lit("ROOT").alias("kind"), F.lit(0).alias("depth"), none("string").alias("title"), "first", "last", none("int").alias("parent"))
+    group = F.when(F.col("paged") > 0, "PAGE_GROUP").otherwise("STRUCTURAL_GROUP")
+    groups = whole.where("not headed").select("doc_id", F.lit(1).alias("node"), group.alias("kind"), F.lit(1).alias("depth"), none("string").alias("title"), "first", "last", F.lit(0).alias("parent"))
+    return roots.unionByName(headings).unionByName(groups)
+
+
+def wide(text: str) -> str:
+    """A character for each UTF-16 unit, so that lengths and places count units."""
+    return text if not text or max(text) <= "\uffff" else "".join(map(chr, memoryview(text.encode("utf-16-le", "surrogatepass")).cast("H")))
+
+
+def narrow(units: str) -> str:
+    return units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass")
+
+
 def soft_split(text: str, most: int) -> list[tuple[int, int]]:
-    """Spans of at most ``most`` units; cuts fall after a paragraph, sentence or line that ends past 45 % of a span."""
-    spans, at = [], 0
+    """Spans of at most ``most`` UTF-16 units; cuts fall after a paragraph, sentence or line that ends past 45 % of a span,
+    and never inside a surrogate pair."""
+    text, spans, at = wide(text), [], 0
     while len(text) - at > most:
         window = text[at : at + most]
         cut = 0
@@ -42,14 +85,16 @@ def soft_split(text: str, most: int) -> list[tuple[int, int]]:
                 cut = place + keep
                 break
         cut = cut or most
+        if cut > 1 and "\ud800" <= text[at + cut - 1] <= "\udbff" and "\udc00" <= text[at + cut] <= "\udfff":
+            cut -= 1
         spans.append((at, at + cut))
         at += cut
     spans.append((at, len(text)))
     return spans
 
 
-def packed(text: str, heading, target: int, most: int) -> list[tuple[str, int, int]]:
-    """(content, first block, last block) of a document's chunks.
+def packed(text: str, heading, target: int, most: int) -> list[tuple[str, int, int, int]]:
+    """(content, first block, last block, UTF-16 units) of a document's chunks.
 
     Blocks longer than ``most`` are split. A chunk ends before a heading and where the next unit, with the blank line
     between, would pass the target; at ``most`` it ends at once.
@@ -60,12 +105,13 @@ def packed(text: str, heading, target: int, most: int) -> list[tuple[str, int, i
     def flush():
         nonlocal content, size
         if content:
-            chunks.append(("\n\n".join(content), first, last))
+            chunks.append((narrow("\n\n".join(content)), first, last, size))
         content, size = [], 0
 
     for ordinal, block in enumerate(text.split("\n")):
+        units = wide(block)
         for start, end in soft_split(block, most):
-            unit = block[start:end]
+            unit = units[start:end]
             if content and (heading(block) or size + 2 + len(unit) > target):
                 flush()
             if not content:
@@ -81,7 +127,7 @@ def packed(text: str, heading, target: int, most: int) -> list[tuple[str, int, i
 
 def chunked(documents: DataFrame, heading, target: int = 1200, most: int = 1600) -> DataFrame:
     """(doc_id, ordinal, content, content_hash, first_block, last_block, units): a document is packed where it lies, so
-    nothing is shuffled. Lengths are code points of texts without characters beyond the basic plane."""
+    nothing is shuffled. Lengths count UTF-16 units."""
 
     def run(batches):
         for batch in batches:
@@ -89,7 +135,7 @@ def chunked(documents: DataFrame, heading, target: int = 1200, most: int = 1600)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 own = packed(text or "", heading, target, most)
                 ids += [i] * len(own)
-                rows += [(k, c, hashlib.sha256(c.encode()).hexdigest(), a, b, len(c)) for k, (c, a, b) in enumerate(own)]
+                rows += [(k, c, hashlib.sha256(c.encode()).hexdigest(), a, b, n) for k, (c, a, b, n) in enumerate(own)]
             types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), *columns], ["doc_id", "ordinal", "content", "content_hash", "first_block", "last_block", "units"])
@@ -103,7 +149,7 @@ def provenance_errors(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("ordinal")
     placed = chunks.withColumn("_place", F.row_number().over(order) - 1).withColumn("_before", F.lag("last_block", 1, 0).over(order))
     flags = {
-        "HASH": F.sha2("content", 256) != F.col("content_hash"), "LENGTH": F.length("content") != F.col("units"),
+        "HASH": F.sha2("content", 256) != F.col("content_hash"), "LENGTH": units(F.col("content")) != F.col("units"),
         "ORDINAL": F.col("ordinal") != F.col("_place"), "ORDER": F.col("first_block") < F.col("_before"),
     }
     codes = F.array_compact(F.array(*(F.when(bad, code) for code, bad in flags.items())))

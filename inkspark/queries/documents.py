@@ -42,9 +42,27 @@ def page_navigation(spark, sf_dir):
     return navigation(table(spark, sf_dir, "pages"))
 
 
-@query("p01_structure", HEADINGS + "SELECT doc_id, a::INTEGER AS ordinal, level::INTEGER AS level, parent::INTEGER AS parent, z::INTEGER AS \"end\" FROM tree")
+@query("p01_structure", r"""
+WITH b AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS o, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+h AS (SELECT doc_id, o, line, CASE WHEN length(line) % 4 = 1 THEN 1 + length(line) % 3 WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN length(regexp_extract(line, '^#{1,6}')) ELSE 2 END AS level,
+  row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k FROM b WHERE length(line) < 100),
+whole AS (SELECT doc_id, min(o) AS a, max(o) AS z FROM b GROUP BY doc_id),
+up AS (SELECT x.doc_id, x.k, max(y.k) AS parent FROM h x JOIN h y ON x.doc_id = y.doc_id AND y.k < x.k AND y.level < x.level GROUP BY x.doc_id, x.k),
+down AS (SELECT x.doc_id, x.k, min(y.o) - 1 AS z FROM h x JOIN h y ON x.doc_id = y.doc_id AND y.k > x.k AND y.level <= x.level GROUP BY x.doc_id, x.k)
+SELECT doc_id, 0 AS node, 'ROOT' AS kind, 0 AS depth, a::INTEGER AS first, z::INTEGER AS last, NULL::INTEGER AS parent FROM whole
+UNION ALL
+SELECT h.doc_id, h.k::INTEGER, CASE h.level WHEN 1 THEN 'CHAPTER' WHEN 2 THEN 'SECTION' ELSE 'SUBSECTION' END, h.level::INTEGER, h.o::INTEGER, coalesce(down.z, whole.z)::INTEGER, coalesce(up.parent, 0)::INTEGER
+FROM h JOIN whole USING (doc_id) LEFT JOIN up ON up.doc_id = h.doc_id AND up.k = h.k LEFT JOIN down ON down.doc_id = h.doc_id AND down.k = h.k
+UNION ALL
+SELECT doc_id, 1, 'STRUCTURAL_GROUP', 1, a::INTEGER, z::INTEGER, 0 FROM whole WHERE doc_id NOT IN (SELECT doc_id FROM h)""")
 def structure(spark, sf_dir):
-    return s.structure(leveled(spark, sf_dir).select("doc_id", "ordinal", "level"))
+    """Short lines are headings; some have a level as metadata, of which some aren't valid."""
+    rows = blocks(documents(spark, sf_dir))
+    n = F.length("text")
+    typed = rows.select(
+        "doc_id", "ordinal", "text", F.when(n < 100, "HEADING").otherwise("PARAGRAPH").alias("kind"), F.lit(None).cast("int").alias("page"),
+        F.when(n % 4 == 1, 1 + n % 3).when(n % 4 == 2, 9).alias("level"))
+    return s.tree(typed).drop("title")
 
 
 @query("p02_chunks")
@@ -52,10 +70,16 @@ def packed_chunks(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", "ordinal", "content_hash", "first_block", "last_block", "units")
 
 
-@query("p03_reconstruct", "SELECT doc_id, 'HASH' AS code, count(*)::BIGINT AS n FROM documents WHERE false GROUP BY doc_id")
+@query("p03_reconstruct", """
+SELECT doc_id, ['HASH', 'LENGTH', 'TEXT', 'ORDINAL'][(doc_id % 5 + 1)::INTEGER] AS code, 1::BIGINT AS n FROM documents WHERE doc_id % 5 < 4""")
 def reconstruct(spark, sf_dir):
-    """No row is a pass."""
-    return s.provenance_errors(chunks(spark, sf_dir), documents(spark, sf_dir))
+    """The first chunk of a document has a fault by its id's remainder; every fifth document has none."""
+    fault = F.when(F.col("ordinal") == 0, F.col("doc_id") % 5).otherwise(4)
+    longer = F.when(fault == 2, F.concat("content", F.lit("x"))).otherwise(F.col("content"))
+    broken = chunks(spark, sf_dir).withColumn("content", longer).withColumn(
+        "content_hash", F.when(fault == 0, F.sha2(F.lit("another"), 256)).when(fault == 2, F.sha2("content", 256)).otherwise(F.col("content_hash"))).withColumn(
+        "units", F.col("units") + F.when(fault.isin(1, 2), 1).otherwise(0)).withColumn("ordinal", F.col("ordinal") - F.when(fault == 3, 1).otherwise(0))
+    return s.provenance_errors(broken, documents(spark, sf_dir))
 
 
 @query("p04_chunk_set")
@@ -71,7 +95,7 @@ def chunk_set(spark, sf_dir):
 SELECT doc_id, id, parent FROM (SELECT s.doc_id, s.a::INTEGER AS id, c.a::INTEGER AS parent, row_number() OVER (PARTITION BY s.doc_id, s.a ORDER BY c.z - c.a, c.a) AS k
   FROM sections s LEFT JOIN chapters c ON c.doc_id = s.doc_id AND c.a <= s.a AND s.z <= c.z) WHERE k = 1""")
 def coverage(spark, sf_dir):
-    tree = structure(spark, sf_dir).select("doc_id", F.col("ordinal").alias("id"), "level", F.col("ordinal").alias("a"), F.col("end").alias("b"))
+    tree = s.structure(leveled(spark, sf_dir).select("doc_id", "ordinal", "level")).select("doc_id", F.col("ordinal").alias("id"), "level", F.col("ordinal").alias("a"), F.col("end").alias("b"))
     return s.coverage(tree.where("level = 1"), tree.where("level = 2"))
 
 
@@ -87,7 +111,7 @@ SELECT 'CHILD_OUTSIDE_PARENT' AS code, count(*)::BIGINT AS n FROM tree x JOIN tr
 UNION ALL SELECT 'EMPTY_RANGE', count(*) FROM tree WHERE z < a
 UNION ALL SELECT 'NO_PARENT', count(*) FROM tree WHERE parent IS NULL AND level > 1""")
 def structure_audit(spark, sf_dir):
-    tree = structure(spark, sf_dir)
+    tree = s.structure(leveled(spark, sf_dir).select("doc_id", "ordinal", "level"))
     up = tree.select("doc_id", F.col("ordinal").alias("parent"), F.col("ordinal").alias("pa"), F.col("end").alias("pb"))
     return s.issues(
         ("CHILD_OUTSIDE_PARENT", tree.join(up, ["doc_id", "parent"]).where((F.col("ordinal") < F.col("pa")) | (F.col("end") > F.col("pb")))),

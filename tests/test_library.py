@@ -340,3 +340,27 @@ def test_grounding_reaches_every_code(spark):
         spark.createDataFrame([(1, "l"), (4, "l")], "run int, lineage string")).collect()
     every = ["GROUNDING_FOREIGN_LINEAGE", "GROUNDING_OFFSET_INVALID", "GROUNDING_QUOTE_BUDGET_EXCEEDED", "GROUNDING_QUOTE_HASH_MISMATCH", "GROUNDING_QUOTE_MISMATCH", "GROUNDING_SURROGATE_SPLIT"]
     assert {r["run"]: r["codes"] for r in got} == {1: [], 2: ["GROUNDING_EVIDENCE_REQUIRED"], 3: [], 4: every}
+
+
+def test_tree_has_root_kinds_and_groups(spark):
+    rows = [
+        (1, 0, "intro", "PARAGRAPH", None, None), (1, 1, "# One ", "HEADING", None, None), (1, 2, "Plain title", "HEADING", None, 9), (1, 3, "text", "PARAGRAPH", None, None), (1, 4, "### Deep", "HEADING", None, None),
+        (1, 5, "#nospace", "HEADING", None, 1), (1, 6, "end", "PARAGRAPH", None, None), (2, 3, "a", "PARAGRAPH", 7, None), (2, 4, "b", "PARAGRAPH", None, None), (3, 0, "x", "PARAGRAPH", None, 3)]
+    got = structure.tree(spark.createDataFrame(rows, "doc_id long, ordinal int, text string, kind string, page int, level int")).orderBy("doc_id", "node").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 0, "ROOT", 0, None, 0, 6, None), (1, 1, "CHAPTER", 1, "One", 1, 4, 0), (1, 2, "SECTION", 2, "Plain title", 2, 4, 1), (1, 3, "SUBSECTION", 3, "Deep", 4, 4, 2), (1, 4, "CHAPTER", 1, "#nospace", 5, 6, 0),
+        (2, 0, "ROOT", 0, None, 3, 4, None), (2, 1, "PAGE_GROUP", 1, None, 3, 4, 0), (3, 0, "ROOT", 0, None, 0, 0, None), (3, 1, "STRUCTURAL_GROUP", 1, None, 0, 0, 0)]
+
+
+def test_splits_count_utf16_units(spark):
+    text = "ab😀" * 40
+    pieces = value(spark, t.hard_pieces(F.col("s"), 15), s=text)
+    assert "".join(pieces) == text and all(len(x.encode("utf-16-le")) // 2 <= 16 for x in pieces) and len(pieces) == 11
+    assert value(spark, t.hard_pieces(F.col("s"), 4), s="abcdefghij") == ["abcd", "efgh", "ij"] and value(spark, t.hard_pieces(F.col("s"), 4), s="") == [""]
+    spans = structure.soft_split(text, 15)
+    units = structure.wide(text)
+    assert spans[-1][1] == len(units) == 160 and all(b - a <= 15 for a, b in spans) and "".join(structure.narrow(units[a:b]) for a, b in spans) == text
+    docs = spark.createDataFrame([(1, "😀" * 900 + "\nshort\n" + "x" * 10)], "doc_id long, text string")
+    chunks = structure.chunked(docs, lambda block: False, 1000, 1200).collect()
+    assert all(r["units"] == len(r["content"].encode("utf-16-le")) // 2 <= 1200 for r in chunks) and [r["units"] for r in chunks] == [1200, 619]
+    assert structure.provenance_errors(structure.chunked(docs, lambda block: False, 1000, 1200), docs).collect() == []
