@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkspark.plans import analysis
 from inkspark.plans import structure as s
 from inkspark.queries import query
 from inkspark.sources.markup import html_blocks, navigation
@@ -99,6 +100,24 @@ def coverage(spark, sf_dir):
     return s.coverage(tree.where("level = 1"), tree.where("level = 2"))
 
 
+def summed(texts: list[str]) -> str:
+    """An analyser whose answer can be checked: the sum of the numbers behind the marks."""
+    return f"#{sum(int(x[1:]) for x in texts)}"
+
+
+@query("p05_hierarchical_analysis", """
+SELECT doc_id, '#' || len(string_split(text, chr(10))) AS summary, 0::BIGINT AS faults FROM documents WHERE text IS NOT NULL""")
+def hierarchical_analysis(spark, sf_dir):
+    """Every block a chunk that counts as one, summed up by sections, chapters and book; all must arrive."""
+    rows = blocks(documents(spark, sf_dir))
+    parts = rows.select("doc_id", "ordinal", F.lit("#1").alias("content"), F.col("ordinal").alias("first"), F.col("ordinal").alias("last"))
+    nodes = s.tree(rows.select(
+        "doc_id", "ordinal", "text", F.when(F.length("text") < 100, "HEADING").otherwise("PARAGRAPH").alias("kind"), F.lit(None).cast("int").alias("page"), (1 + F.length("text") % 3).alias("level")))
+    answers = analysis.analysed(parts, nodes, summed)
+    faults = analysis.incomplete(answers, parts).groupBy("doc_id").agg(F.count("*").alias("faults"))
+    return answers.where("scope = 'BOOK'").join(faults, "doc_id", "left").select("doc_id", "summary", F.coalesce("faults", F.lit(0)).alias("faults"))
+
+
 @query("l07_context_budget")
 def context_budget(spark, sf_dir):
     """Turns of a conversation by length, as many as fit 300 units."""

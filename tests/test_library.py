@@ -364,3 +364,19 @@ def test_splits_count_utf16_units(spark):
     chunks = structure.chunked(docs, lambda block: False, 1000, 1200).collect()
     assert all(r["units"] == len(r["content"].encode("utf-16-le")) // 2 <= 1200 for r in chunks) and [r["units"] for r in chunks] == [1200, 619]
     assert structure.provenance_errors(structure.chunked(docs, lambda block: False, 1000, 1200), docs).collect() == []
+
+
+def test_analysis_goes_up_by_the_narrowest_unit(spark):
+    from inkspark.plans import analysis
+
+    chunks = spark.createDataFrame([(1, k, f"c{k}", k, k) for k in range(7)] + [(2, 0, "alone", 0, 3)], "doc_id long, ordinal int, content string, first int, last int")
+    nodes = spark.createDataFrame(
+        [(1, 0, "ROOT", 0, 6), (1, 1, "CHAPTER", 1, 4), (1, 2, "SECTION", 2, 3), (1, 3, "SECTION", 5, 6), (2, 0, "ROOT", 0, 3)], "doc_id long, node int, kind string, first int, last int")
+    answers = analysis.analysed(chunks, nodes, lambda texts: "(" + " ".join(texts) + ")", 1000)
+    got = {(r["doc_id"], r["scope"], r["unit"]): (r["inputs"], r["summary"]) for r in answers.collect()}
+    assert got[1, "SECTION", 2] == (2, "((c2) (c3))") and got[1, "SECTION", 3] == (2, "((c5) (c6))")
+    assert got[1, "CHAPTER", 1] == (3, "((c1) ((c2) (c3)) (c4))")
+    assert got[1, "BOOK", 0] == (3, "((c0) ((c1) ((c2) (c3)) (c4)) ((c5) (c6)))") and got[2, "BOOK", 0] == (1, "((alone))")
+    assert analysis.incomplete(answers, chunks).collect() == []
+    assert {tuple(r) for r in analysis.incomplete(answers.where("not (scope = 'CHUNK' and unit = 3)"), chunks).collect()} == {(1, "CHUNK_ANALYSIS_INCOMPLETE")}
+    assert {tuple(r) for r in analysis.incomplete(answers.where("scope <> 'SECTION' or unit <> 3"), chunks).collect()} == {(1, "COVERAGE")}
