@@ -118,7 +118,16 @@ def hierarchical_analysis(spark, sf_dir):
     return answers.where("scope = 'BOOK'").join(faults, "doc_id", "left").select("doc_id", "summary", F.coalesce("faults", F.lit(0)).alias("faults"))
 
 
-@query("l07_context_budget")
+GREEDY = """
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, id) AS k FROM ({items})),
+f AS (
+  SELECT request, id, k, cost <= {limit} AS taken, {limit} - CASE WHEN cost <= {limit} THEN cost ELSE 0 END AS room, (cost <= {limit})::INTEGER AS n FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.request, o.id, o.k, o.cost <= f.room, f.room - CASE WHEN o.cost <= f.room THEN o.cost ELSE 0 END, f.n + (o.cost <= f.room)::INTEGER FROM f JOIN o ON o.request = f.request AND o.k = f.k + 1)
+SELECT request AS {name}, (n - 1)::INTEGER AS place, id FROM f WHERE taken"""
+
+
+@query("l07_context_budget", GREEDY.format(items="SELECT conv_id AS request, turn AS id, length(text) AS score, length(text) AS cost FROM conversations", limit=300, name="conv_id"))
 def context_budget(spark, sf_dir):
     """Turns of a conversation by length, as many as fit 300 units."""
     turns = table(spark, sf_dir, "conversations")

@@ -12,6 +12,7 @@ from inkspark.operators import decisions as d
 from inkspark.operators.vectors import closest
 from inkspark.plans import budgets, reduction
 from inkspark.queries import query
+from inkspark.queries.documents import GREEDY
 from inkspark.sources import archives
 from inkspark.sources.tables import blocks, hours, table
 
@@ -134,7 +135,11 @@ def visual_fidelity(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat_ws(",", *(F.when(bad, code) for code, bad in flags.items())).alias("codes"))
 
 
-@query("a33_pcm_measurement")
+@query("a33_pcm_measurement", """
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: round_even(greatest(-1, least(1, x::DOUBLE)) * 32767, 0)::BIGINT) AS s FROM embeddings WHERE embedding IS NOT NULL),
+q AS (SELECT vec_id, s, array_to_string(list_transform(s, lambda x: CASE WHEN abs(x) < 328 THEN '1' ELSE '0' END), '') AS quiet FROM s)
+SELECT vec_id, coalesce(list_max(list_transform(s, lambda x: abs(x))), 0)::BIGINT AS peak, len(list_filter(s, lambda x: abs(x) >= 32767))::BIGINT AS clipped,
+  len(list_filter(s, lambda x: abs(x) < 328))::BIGINT AS silent, list_max(list_transform(string_split(quiet, '0'), lambda r: length(r)))::BIGINT AS longest FROM q""")
 def pcm_measurement(spark, sf_dir):
     """Vectors as 16-bit samples: silence, peak and clipping of each."""
     return budgets.pcm(table(spark, sf_dir, "embeddings"))
@@ -154,7 +159,7 @@ def fair_budget(spark, sf_dir):
     return budgets.fair(turns, 1200)
 
 
-@query("l09_source_split")
+@query("l09_source_split", GREEDY.format(items="SELECT conv_id || '/' || role AS request, turn AS id, -turn AS score, length(text) AS cost FROM conversations", limit=600, name="request"))
 def source_split(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), "role").alias("request"), F.col("turn").cast("long").alias("id"), (-F.col("turn")).cast("double").alias("score"), F.length("text").cast("long").alias("cost"))
     from inkspark.plans.structure import greedy

@@ -11,6 +11,7 @@ from inkspark.functions import pieces as p
 from inkspark.functions import text as t
 from inkspark.plans.structure import greedy, soft_split
 from inkspark.queries import query
+from inkspark.queries.documents import GREEDY
 from inkspark.sources.tables import table
 
 PIECE = {"piece": ("string", pa.string())}
@@ -47,7 +48,8 @@ def cards(spark, sf_dir):
     return p.over_texts(turns, "id", "text", lambda x: [(s,) for s in p.wrapped(x, 24, 40) or [None]], {"line": ("string", pa.string())})
 
 
-@query("x29_cross_format")
+@query("x29_cross_format", r"""
+SELECT doc_id, sha256(trim(regexp_replace(replace(replace(nfc_normalize(coalesce(text, '')), chr(160), ' '), chr(173), ''), '[ \t\r\n\f\v]+', ' ', 'g'))) AS digest FROM documents""")
 def cross_format(spark, sf_dir):
     rows = p.over_texts(docs(spark, sf_dir), "doc_id", "text", lambda x: [(p.comparable(x),)], PIECE)
     return rows.select("doc_id", F.sha2("piece", 256).alias("digest"))
@@ -66,9 +68,11 @@ def rescale(spark, sf_dir):
     return p.over_texts(lists, "conv_id", "ms", lambda x: [(ms,) for ms in p.rescaled(list(x), 60_000)], {"ms": ("int", pa.int32())})
 
 
-@query("a34_gain")
+@query("a34_gain", """
+SELECT vec_id, round(CASE WHEN rms > 0 THEN least(0.1 / rms, 0.98 / peak) ELSE 1 END, 6)::DOUBLE AS gain FROM (
+  SELECT vec_id, sqrt(list_avg(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS rms, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS peak FROM embeddings)""")
 def gain(spark, sf_dir):
-    return p.over_texts(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda x: [(p.gained(np.array(list(x), float)),)], {"gain": ("double", pa.float64())}).drop("ordinal")
+    return p.over_texts(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda x: [(p.gained(np.array(list(x), float)),)], {"gain": ("double", pa.float64())}).select("vec_id", F.round("gain", 6).alias("gain"))
 
 
 @query("p08_evidence", r"""
@@ -83,7 +87,11 @@ def evidence(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count("*").alias("candidates"), F.count_if(error.isNull()).alias("accepted"))
 
 
-@query("p12_context_pack")
+@query("p12_context_pack", GREEDY.format(items="""
+  SELECT request, id, score, cost FROM (
+    SELECT b.label AS request, b.vec_id AS id, round(list_dot_product(a.e::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.e::DOUBLE[], a.e::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score,
+      1 + b.vec_id % 7 AS cost, row_number() OVER (PARTITION BY b.label ORDER BY score DESC, b.vec_id) AS place
+    FROM embeddings b JOIN (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label) a ON a.label = b.label) WHERE place <= 100""", limit=40, name="label"))
 def context_pack(spark, sf_dir):
     """The vectors next to the first of each document by cosine, as many as a budget of 40 takes."""
     from inkspark.functions import vectors as v
