@@ -1,7 +1,7 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
-A label's vectors lie in shells around one of them, its root: two within the threshold's distance are in the same or in
-neighbouring shells. Large shells are split into blocks. For each pair of blocks that can hold links a task builds a
+A label's vectors lie in blocks around centres. A vector is sent to its own block and to those that can hold a link of it,
+by the plane between the centres and by the block's covering radius. For each pair of blocks a task builds a
 cover tree of either block (nested levels of centres with halving radii) and walks both at once. A pair of nodes is
 dropped if its centres are further apart than the covering radii and the threshold allow, and counted as a whole if
 all of its members must link. A task gives each vector's number of links and a spanning forest, never all pairs.
@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspark.llm.common import components, cut, read
 
-BLOCK = 4096
-SLACK = 1e-9
+#: Vectors of a block, and of a task that finds their blocks; centres of a label at most; slack of rounding.
+BLOCK, ROWS, CENTRES, SLACK = 4096, 65_536, 2048, 1e-6
 
 
 @dataclass
@@ -148,8 +148,8 @@ def covering(points: np.ndarray, node: Node) -> float:
     return node.radius
 
 
-def block_links(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, sides: np.ndarray, cosine: float):
-    """(id, links, tied to) over the vectors of one or two blocks."""
+def block_links(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, sides: np.ndarray, cosine: float, alone: bool = True):
+    """(id, links, tied to) over the vectors of one block (``alone``) or between those of two."""
     points = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     order = np.argsort(ids, kind="stable")
     ids, points, weights, sides = ids[order], points[order], weights[order], sides[order]
@@ -158,11 +158,82 @@ def block_links(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, sides
     trees = [build(points, p) for p in parts if len(p)]
     if len(trees) == 2:
         traverse(points, forest, trees[0], trees[1], cosine)
-    elif trees and not sides.any():
+    elif trees and alone:
         traverse(points, forest, trees[0], trees[0], cosine)
     return ids, forest.links, ids[forest.roots(np.arange(len(ids)))]
 
 
+def placed(points: DataFrame, cosine: float, block: int) -> DataFrame:
+    """(label, dim, node, v, w, block, gap, meets): each vector's block and which others its links may be in.
+
+    A label's vectors go to the nearest of its centres, one for every ``block`` vectors up to ``CENTRES``. A vector x that
+    links with a y of another block is no further than the threshold from the plane between the two centres, on whose
+    other side y lies; ``meets`` has the blocks for which that holds, with the distance to their centres. Tasks take
+    ``ROWS`` vectors and the label's centres, so a label that holds most rows is spread over many.
+    """
+    key = ["label", "dim"]
+    reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    sizes = cut(points.groupBy(*key).agg(F.count("*").alias("n")).select(
+        *key, F.least(F.ceil(F.col("n") / F.lit(block)), F.lit(CENTRES)).alias("m"), F.ceil(F.col("n") / F.lit(ROWS)).alias("parts")))
+    own = points.join(sizes, key).select(*key, F.pmod("node", "parts").alias("part"), F.lit(None).cast("int").alias("centre"), "node", "v", "w")
+    first = Window.partitionBy(*key).orderBy("node")
+    centres = points.select(*key, "node", "v", "w").withColumn("centre", F.row_number().over(first) - 1).where(F.col("centre") < CENTRES)
+    centres = centres.join(sizes, key).where("centre < m").select(
+        *key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "centre", "node", "v", "w")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+        number = table.column("centre").to_numpy(zero_copy_only=False)
+        is_centre = ~np.isnan(number.astype(float))
+        order = np.flatnonzero(is_centre)[np.argsort(number[is_centre])]
+        rows, centre = np.flatnonzero(~is_centre), unit[order]
+        between = np.sqrt(np.maximum(2 - 2 * centre @ centre.T, 0))
+        none = np.empty(0)
+        blocks, gaps, meets, far, counts = ([none] for _ in range(5))
+        for low in range(0, len(rows), 4096):
+            some = rows[low : low + 4096]
+            squares = np.maximum(2 - 2 * unit[some] @ centre.T, 0)
+            nearest = squares.argmin(axis=1)
+            least = squares[np.arange(len(some)), nearest]
+            beyond = squares - least[:, None] <= 2 * between[nearest] * reach + SLACK
+            at, to = np.nonzero(beyond)
+            blocks.append(nearest)
+            gaps.append(np.sqrt(least))
+            meets.append(to)
+            far.append(np.sqrt(squares[at, to]))
+            counts.append(np.bincount(at, minlength=len(some)))
+        offsets = np.concatenate([[0], np.concatenate(counts).cumsum()])
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(meets).astype(np.int32)), pa.array(np.concatenate(far))], ["block", "gap"])
+        kept = table.take(pa.array(rows)).select([*key, "node", "v", "w"])
+        return kept.append_column("block", pa.array(np.concatenate(blocks).astype(np.int32))).append_column("gap", pa.array(np.concatenate(gaps))).append_column(
+            "meets", pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs))
+
+    kind = points.schema["label"].dataType.simpleString()
+    both = own.unionByName(centres)
+    return cut(both.groupBy(*key, "part").applyInArrow(run, f"label {kind}, dim int, node long, v array<double>, w long, block int, gap double, meets array<struct<block: int, gap: double>>"))
+
+
+def blocked(points: DataFrame, cosine: float, block: int) -> DataFrame:
+    """(label, dim, task, alone, side, node, v, w): the vectors of each pair of blocks that may hold links.
+
+    A vector isn't sent to a block whose covering radius keeps it out of reach. Blocks of more than ``block`` vectors are
+    dealt out into units, so that a task has two units at most.
+    """
+    key = ["label", "dim"]
+    reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    rows = placed(points, cosine, block)
+    about = cut(rows.groupBy(*key, "block").agg(F.max("gap").alias("radius"), F.ceil(F.count("*") / F.lit(block)).alias("units")))
+    own = rows.join(about.select(*key, "block", "units"), [*key, "block"]).select(
+        *key, F.struct("block", F.pmod(F.xxhash64("node"), "units").alias("unit")).alias("own"), "node", "v", "w", F.explode("meets").alias("other"))
+    met = own.withColumn("block", F.col("other.block")).join(about, [*key, "block"]).where(F.col("other.gap") <= F.col("radius") + reach)
+    met = met.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("units") - 1), lambda u: F.struct(F.col("block").alias("block"), u.alias("unit")))))
+    return met.select(
+        *key, F.xxhash64(F.least("own", "to"), F.greatest("own", "to")).alias("task"), (F.col("own") == F.col("to")).alias("alone"),
+        (F.col("own") > F.col("to")).cast("int").alias("side"), "node", "v", "w")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label), extra columns ignored.
 
@@ -181,30 +252,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, block: int = BLOCK) -
     points = cut(
         rows.where("v is not null").groupBy(*key, "h", "v").agg(F.count("*").alias("w"), F.min("vec_id").alias("least"))
         .withColumn("node", F.xxhash64(*key, "v")))
-    roots = points.groupBy(*key).agg(F.min_by("v", "node").alias("root"))
-    scale = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-    dot = F.aggregate(F.zip_with("v", "root", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    gap = F.sqrt(F.greatest(2 - 2 * dot / (scale("v") * scale("root")), F.lit(0.0)))
-    shelled = points.join(F.broadcast(roots) if roots.count() <= 10_000 else roots, key).withColumn("shell", F.floor(gap / reach)).drop("root")
-    sizes = shelled.groupBy(*key, "shell").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
-    blocked = cut(shelled.join(sizes, [*key, "shell"]).withColumn("block", F.pmod("node", "blocks")))
-    blocks = cut(sizes.select(*key, "shell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key]
-    pairs = a.join(b, on[0] & on[1] & (F.col("b.shell") - F.col("a.shell")).isin(0, 1)).where(
-        (F.col("a.shell") < F.col("b.shell")) | (F.col("a.block") <= F.col("b.block"))).select(
-        *(F.col(f"a.{c}") for c in key), F.struct("a.shell", "a.block").alias("one"), F.struct("b.shell", "b.block").alias("two"))
-    sides = pairs.select(*key, "one", "two", F.explode(F.when(F.col("one") == F.col("two"), F.array(F.struct(F.col("one").alias("own"), F.lit(0).alias("side"))))
-        .otherwise(F.array(F.struct(F.col("one").alias("own"), F.lit(0).alias("side")), F.struct(F.col("two").alias("own"), F.lit(1).alias("side"))))).alias("s")).select(
-        *key, F.xxhash64("one", "two").alias("task"), F.col("s.own.shell").alias("shell"), F.col("s.own.block").alias("block"), F.col("s.side").alias("side"))
-    dealt = blocked.join(sides, [*key, "shell", "block"]).select(*key, "task", "side", "node", "v", "w")
+    dealt = blocked(points, cosine, block)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         ids, links, tied = block_links(
-            table.column("node").to_numpy(), flat.reshape(table.num_rows, -1), table.column("w").to_numpy(), table.column("side").to_numpy(), cosine)
+            table.column("node").to_numpy(), flat.reshape(table.num_rows, -1), table.column("w").to_numpy(), table.column("side").to_numpy(), cosine,
+            table.column("alone")[0].as_py())
         some = links > 0
         return pa.table({"node": ids[some], "links": links[some], "tied": tied[some]})
 
