@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -23,8 +23,8 @@ from inkspark.llm.common import held_out, read
 
 @dataclass(frozen=True)
 class Settings:
-    """``fit_rows`` and ``fit_chars`` bound the sample of labelled rows that the model is fitted on (per class; longer
-    texts are left out of the sample, never out of scoring)."""
+    """``fit_rows`` and ``fit_chars`` bound the sample that the model is fitted on: so many labelled rows of each class, and
+    so many characters of theirs in all. Texts of any length are in it, whole."""
 
     shortest: int = 3
     longest: int = 5
@@ -36,7 +36,7 @@ class Settings:
     rate: float = 0.15
     sharp: float = 2.0
     fit_rows: int = 2000
-    fit_chars: int = 8_000
+    fit_chars: int = 6_000_000
     seed: int = 5
 
 
@@ -60,7 +60,8 @@ def margins(texts: pa.Array, weights: np.ndarray, bias: float, s: Settings) -> n
     for at, part in slices(texts):
         offsets, codes, words = coded_words(split_words(part))
         ids, ends = subwords(words, s.shortest, s.longest, s.buckets)
-        sums, counts = segment_sums(weights[ids], ends[:-1], ends[1:]), np.diff(ends)
+        some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # a text without words splits into an empty one
+        sums, counts = segment_sums(weights[ids], ends[:-1], ends[1:]) * some, np.diff(ends) * some
         starts, stops, firsts = windows(offsets, s.window)
         total = segment_sums(counts[codes], starts, stops)
         each = segment_sums(sums[codes], starts, stops) / np.maximum(total, 1) + bias
@@ -123,14 +124,21 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, s: Settings) -> tuple[list[str], np.ndarray]:
-    """At most ``fit_rows`` labelled texts of each class, by the order of a hash of doc_id."""
+    """At most ``fit_rows`` labelled texts of each class, ``fit_chars`` characters in all, by the order of a hash of doc_id.
+
+    Labels are joined with the documents that there are before they are counted, so that labels of others don't use up
+    the sample; only ids and lengths take part in that join.
+    """
     mix = F.xxhash64(F.lit(s.seed), "doc_id")
-    chosen = [
-        labels.where(~held_out() & F.col("doc_id").isNotNull() & (F.col(label) == value)).select("doc_id", F.lit(value).alias("_label"))
-        .orderBy(mix, "doc_id").limit(s.fit_rows) for value in (0, 1)]
-    short = docs.where("text is not null").where(F.length("text") <= s.fit_chars).select("doc_id", "text")
-    rows = short.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("text", "_label", mix.alias("_mix"))
-    got = rows.orderBy("_mix", "_label", "text").limit(2 * s.fit_rows).toPandas()
+    known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_label"))
+    docs = docs.where(F.col("text").rlike(r"\S"))
+    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("_n"))
+    usable = known.distinct().join(sizes, "doc_id").withColumn("_mix", mix)
+    order = Window.partitionBy("_label").orderBy("_mix", "doc_id")
+    first = usable.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= s.fit_rows)
+    chosen = first.withColumn("_sum", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("_sum") <= s.fit_chars) | (F.col("_rank") == 1))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "_label", "_mix")), "doc_id")  # 2 * fit_rows
+    got = rows.orderBy("_mix", "_label", "text").limit(2 * s.fit_rows).select("text", "_label").toPandas()
     return got["text"].tolist(), got["_label"].to_numpy(np.int64)
 
 
@@ -154,7 +162,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
 
     The model is fitted on a bounded sample of the labelled documents that aren't held out, and scores every row from
     its whole text alone. Without labels of both classes the model knows nothing and every score is 0.5 or near it.
-    Null and empty texts have a score too; rows that repeat are scored alike; columns named like an output are replaced;
+    Null and empty texts have a score too, very long ones are scored whole; rows that repeat are scored alike; columns named like an output are replaced;
     an empty table gives an empty result.
     """
     docs = docs.drop("held_out", "score", "predicted")
