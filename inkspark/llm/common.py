@@ -17,12 +17,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only on a single machine that names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if named is None and current.isDefined():
         return current.get()
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     named = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not current.isDefined():
         context.setCheckpointDir(named)

@@ -94,22 +94,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     cuts = known.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else []
     edges = [None, *sorted(set(cuts or [])), None]
     runs, repeats = Runs(spark, fanout), []
-    for low, high in reversed(list(zip(edges, edges[1:]))):
-        batch = known
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        keys = line_keys(batch, min_chars, "_thash").groupBy(*HASH).agg(
-            F.count_distinct("doc_id", "_thash").alias("n_docs"), F.max("doc_id").alias("holder"))
-        again = runs.add(keys)
-        if again is not None:
-            repeats.append(cut(again))
-    firsts = reduce(DataFrame.unionByName, [*runs.tables(), *repeats])
-    common = cut(
-        firsts.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
-        .where(F.col("n_docs") >= min_docs).select(*HASH, "holder"))
-    runs.close()
+    try:
+        for low, high in reversed(list(zip(edges, edges[1:]))):
+            batch = known
+            if low is not None:
+                batch = batch.where(F.col("doc_id") > low)
+            if high is not None:
+                batch = batch.where(F.col("doc_id") <= high)
+            keys = line_keys(batch, min_chars, "_thash").groupBy(*HASH).agg(
+                F.count_distinct("doc_id", "_thash").alias("n_docs"), F.max("doc_id").alias("holder"))
+            again = runs.add(keys)
+            if again is not None:
+                repeats.append(cut(again))
+        firsts = reduce(DataFrame.unionByName, [*runs.tables(), *repeats])
+        common = cut(
+            firsts.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+            .where(F.col("n_docs") >= min_docs).select(*HASH, "holder"))
+    finally:
+        runs.close()
     drops = (
         line_keys(known, min_chars, "_thash").join(common, HASH).where("doc_id <> holder")
         .groupBy("doc_id", "_thash").agg(F.array_sort(F.collect_set("pos")).alias("_drop")))

@@ -205,7 +205,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
     by_length: dict[int, list] = {}
     for length, *run in plan(counts, capacity):
         by_length.setdefault(length, []).append(tuple(run))
-    # One row per length: its runs in order of rank, found by a search of the array of first ranks.
+    # Runs of pieces of one length, of which one holds a piece's rank. There are as many as the plan has, which the capacity
+    # bounds (lengths are at most that), not the data; so they may be broadcast.
     rows = [(k, [tuple(r) for r in runs]) for k, runs in by_length.items()]
     runs = spark.createDataFrame(rows, "length long, _runs array<struct<rank:long,n:long,first:long,per:int,at:int>>")
     run = F.explode("_runs").alias("_run")
