@@ -132,6 +132,25 @@ def test_cover_tree_large_cluster():
     assert (links == (unit @ unit.T >= 0.98).sum(axis=1) - 1).all()
 
 
+def test_cover_tree_blocks_meet_only_neighbours(spark):
+    """Of clustered vectors in many blocks few pairs of blocks meet, and no link is lost."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=16) * 0.08], 1) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    points = df.selectExpr("label", "16 as dim", "vec_id as node", "embedding as v", "1L as w")
+    dealt = covertree.blocked(points, 0.98, 20).collect()
+    placed = {r["node"]: (r["block"]) for r in covertree.placed(points, 0.98, 20).collect()}
+    assert len(placed) == 1200 and len(set(placed.values())) > 30
+    pairs = len({(r["task"]) for r in dealt})
+    assert len(dealt) < 1200 * 12 and pairs < 60 * 61 / 2 / 4
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    expected = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert expected.sum() > 1000
+    assert {r["vec_id"]: r["n_links"] for r in covertree.near_vectors(df, block=20).collect()} == dict(enumerate(expected.tolist()))
+
+
 def test_cover_tree_empty(spark):
     assert covertree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
@@ -269,3 +288,27 @@ def test_minimizers_cover_every_window():
             assert not at
     alone = chaining.minimizers(np.array([0, 37]), hashes[3:40], 6, 10)
     assert alone[1].tolist() == place[owner == 2].tolist()
+
+
+def test_seeds_are_drawn_or_least_of_a_window():
+    rng = np.random.default_rng(10)
+    s = chaining.Settings(every=8, window=12)
+    offsets = np.array([0, 20, 20, 90, 139, 600])
+    hashes = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+    owner, place, values = chaining.seeds_of(offsets, hashes, s)
+    for t in range(5):
+        own = chaining.run_hashes(hashes[offsets[t] : offsets[t + 1]], s.k) if offsets[t + 1] - offsets[t] >= s.least else np.empty(0, np.uint64)
+        drawn = {i for i, x in enumerate(own.tolist()) if x < 2**64 // s.every}
+        lows = [set(range(low, low + s.window)) for low in range(len(own) - s.window + 1)]
+        expected = drawn | {min(w, key=lambda i: own[i]) for w in lows if not w & drawn}
+        assert set(place[owner == t].tolist()) == expected and all(w & expected for w in lows)
+        assert (values[owner == t] == own[sorted(expected)] >> np.uint64(16)).all()
+
+
+def test_word_hashes_tell_words_apart():
+    import pyarrow as pa
+
+    words = [w + x for w in ("", "a", "aa", "ab", "ba", "naïve", "x" * 5000) for x in ("", "1", "11", "é")]
+    hashes = chaining.word_hashes(pa.array(words))
+    assert len(set(hashes.tolist())) == len(set(words)) and (chaining.word_hashes(pa.array(["pad", *words]))[1:] == hashes).all()
+    assert (chaining.word_hashes(pa.array(["pad", *words]).slice(1)) == hashes).all() and not len(chaining.word_hashes(pa.array([], pa.string())))
