@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from inkspark.llm import sql
+from inkspark.llm.bpe import op13_bpe
 from inkspark.llm.chaining import op9_substring_dedup
 from inkspark.llm.covertree import op7_embedding_dedup
+from inkspark.llm.divergence import op12_source_divergence
 from inkspark.llm.langid import op1_language_id
 from inkspark.llm.lines import op4_line_dedup
 from inkspark.llm.mixing import op3_mixing
@@ -27,8 +29,15 @@ def queries():
         "op8_topk_search": op8_topk_search,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_bpe": op13_bpe,
     }
 
 
 def oracle_sql():
-    return {"op4_line_dedup": sql.LINE_DEDUP, "op7_embedding_dedup": sql.EMBEDDING_DEDUP, "op8_topk_search": sql.TOPK_SEARCH}
+    return {
+        "op4_line_dedup": sql.LINE_DEDUP,
+        "op7_embedding_dedup": sql.EMBEDDING_DEDUP,
+        "op8_topk_search": sql.TOPK_SEARCH,
+        "op12_source_divergence": sql.SOURCE_DIVERGENCE,
+    }
