@@ -11,6 +11,7 @@ from inkspark.llm.langid import op1_language_id
 from inkspark.llm.lines import op4_line_dedup
 from inkspark.llm.mixing import op3_mixing
 from inkspark.llm.multiindex import op8_topk_search
+from inkspark.llm.negatives import op11_hard_negatives
 from inkspark.llm.packing import op2_packing
 from inkspark.llm.simhash import op10_simhash
 from inkspark.llm.toxicity import op5_toxicity
@@ -29,6 +30,7 @@ def queries():
         "op8_topk_search": op8_topk_search,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_simhash": op10_simhash,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_source_divergence": op12_source_divergence,
         "op13_bpe": op13_bpe,
     }
@@ -39,5 +41,6 @@ def oracle_sql():
         "op4_line_dedup": sql.LINE_DEDUP,
         "op7_embedding_dedup": sql.EMBEDDING_DEDUP,
         "op8_topk_search": sql.TOPK_SEARCH,
+        "op11_hard_negatives": sql.HARD_NEGATIVES,
         "op12_source_divergence": sql.SOURCE_DIVERGENCE,
     }
