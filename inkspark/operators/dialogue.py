@@ -52,12 +52,35 @@ def follow_through(turns: DataFrame, asks: Column, within: int = 3) -> DataFrame
     return marked.groupBy("conv_id").agg(F.count_if("ask").alias("asked"), F.count_if(F.col("ask") & F.col("answered")).alias("answered"))
 
 
+def called_back(asking: DataFrame, turns: DataFrame, similar: float) -> DataFrame:
+    """(script, turn, called_back): whether a turn at least two before an asking one shares so much of its words or cites an
+    evidence id that it cites. Both have (script, turn, text[, evidence]); asking turns are among the turns.
+
+    Turns that are so similar share a word among the rarest of each, all but so many as the similarity could still do
+    without; they meet by those words, never turn by turn, and are compared in full.
+    """
+    cited = F.col("evidence") if "evidence" in turns.columns else F.array().cast("array<string>")
+    place = F.row_number().over(Window.partitionBy("script").orderBy("turn"))
+    rows = turns.select("script", "turn", place.alias("place"), F.array_distinct(word_tokens(F.col("text"))).alias("words"), cited.alias("ids"))
+    words = rows.select("script", "turn", "place", F.size("words").alias("n"), F.explode("words").alias("word"))
+    common = words.groupBy("script", "word").agg(F.count("*").alias("in"))
+    rare = F.row_number().over(Window.partitionBy("script", "turn").orderBy("in", "word"))
+    needed = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1
+    signs = words.join(common, ["script", "word"]).withColumn("rank", rare).where(F.col("rank") <= needed).select("script", "turn", "place", F.concat(F.lit("w"), "word").alias("sign"))
+    signs = signs.union(rows.select("script", "turn", "place", F.explode(F.array_distinct("ids")).alias("id")).select("script", "turn", "place", F.concat(F.lit("e"), "id")))
+    asked = asking.select("script", "turn").distinct()
+    later = signs.join(asked, ["script", "turn"]).select("script", "sign", F.col("turn").alias("own"), F.col("place").alias("at"))
+    pairs = later.join(signs.select("script", "sign", "turn", "place"), ["script", "sign"]).where(F.col("place") <= F.col("at") - 2).select("script", "own", "turn").distinct()
+    own = rows.select("script", F.col("turn").alias("own"), F.col("words").alias("w"), F.col("ids").alias("i"))
+    fits = (jaccard(F.col("w"), F.col("words")) >= similar) | F.arrays_overlap("i", "ids")
+    found = pairs.join(own, ["script", "own"]).join(rows.select("script", "turn", "words", "ids"), ["script", "turn"]).where(fits).select("script", F.col("own").alias("turn")).distinct()
+    return asked.join(found.withColumn("found", F.lit(True)), ["script", "turn"], "left").select("script", "turn", F.coalesce("found", F.lit(False)).alias("called_back"))
+
+
 def callbacks(turns: DataFrame, similar: float = 0.2) -> DataFrame:
     """(conv_id, turn, called_back): a turn at least two before shares so much of its words."""
-    words = F.array_distinct(word_tokens(F.col("text")))
-    earlier = F.collect_list("w").over(turns_in_order().rowsBetween(Window.unboundedPreceding, -2))
-    seen = turns.select("conv_id", "turn", words.alias("w")).withColumn("earlier", earlier)
-    return seen.select("conv_id", "turn", F.exists("earlier", lambda x: jaccard(F.col("w"), x) >= similar).alias("called_back"))
+    named = turns.withColumnRenamed("conv_id", "script")
+    return called_back(named, named, similar).withColumnRenamed("script", "conv_id")
 
 
 def speakers(turns: DataFrame) -> DataFrame:

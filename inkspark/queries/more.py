@@ -51,19 +51,6 @@ def pause_rules(spark, sf_dir):
         "conv_id", "turn", F.when(role == "user", 250).when(role == "assistant", 400).otherwise(150).alias("before_ms"), F.when(F.length("text") < 80, 120).otherwise(300).alias("after_ms"))
 
 
-@query("x19_copy_risk", r"""
-WITH n AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS s FROM documents),
-g AS (SELECT doc_id, lang, unnest(list_transform(range(0, greatest(0, ceil((length(s) - 59) / 20.0))::BIGINT), lambda i: substr(s, i * 20 + 1, 60))) AS g FROM n),
-pool AS (SELECT DISTINCT g FROM g WHERE doc_id % 2 = 0)
-SELECT g.doc_id, round(count(pool.g) / count(*), 6) AS risk FROM g LEFT JOIN pool ON g.g = pool.g WHERE doc_id % 2 = 1 GROUP BY g.doc_id""")
-def copy_risk(spark, sf_dir):
-    """Share of a text's 60-character shingles, every 20, that the sources hold."""
-    grams = docs(spark, sf_dir).select("doc_id", F.explode(t.copy_shingles(F.col("text"))).alias("g"))
-    pool = grams.where("doc_id % 2 = 0").select(F.col("g").alias("held")).distinct()
-    joined = grams.where("doc_id % 2 = 1").join(pool, F.col("g") == F.col("held"), "left")
-    return joined.groupBy("doc_id").agg(F.round(F.count("held") / F.count("*"), 6).alias("risk"))
-
-
 @query("x26_title_key")
 def title_key(spark, sf_dir):
     """Every text as a title: compatibility forms folded, white space runs as one space, none at the ends."""
