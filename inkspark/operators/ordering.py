@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from inkspark.sources.tables import checkpointed, partitions
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, start: Callable, step: Callable) -> DataFrame:
-    """``rows`` with a boolean ``out``: ``step(state, value)`` gives (state, out) for a key's rows in order.
+#: Kinds of columns that a fold can add.
+KINDS = {"boolean": pa.bool_(), "long": pa.int64()}
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, start: Callable, step: Callable, kind: str = "boolean") -> DataFrame:
+    """``rows`` with ``out``: ``step(state, value)`` gives (state, out) for a key's rows in order.
 
     Rows stream through a task in order of key, so that a key of any size needs the memory of its state alone.
     """
@@ -26,10 +30,10 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], value: str, out:
                     last, state = key, start()
                 state, y = step(state, x)
                 found.append(y)
-            yield batch.append_column(out, pa.array(found, pa.bool_()))
+            yield batch.append_column(out, pa.array(found, KINDS[kind]))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{fields}, `{out}` boolean")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{fields}, `{out}` {kind}")
 
 
 def admitted(requests: DataFrame, keys: list[str], order: list[str], cost: str, limit: float, out: str = "within_limit") -> DataFrame:

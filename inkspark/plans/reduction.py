@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkspark.operators.ordering import folded
+from inkspark.sources.tables import checkpointed, shared_folder
 
 MOST_ROUNDS = 12
 
@@ -36,19 +42,93 @@ def reduce_texts(texts: list[str], limit: int, analyse: Callable[[list[str]], st
         answers = [analyse(g) for g in groups]
         if len(answers) == 1:
             return answers[0], number
-        if sum(map(len, answers)) >= sum(map(len, texts)):
+        if len("\n".join(answers)) >= len("\n".join(texts)):
             raise ValueError("a round made nothing shorter")
         texts = answers
     raise ValueError("too many rounds")
 
 
-def reduced(documents: DataFrame, limit: int, analyse: Callable[[list[str]], str] = head) -> DataFrame:
-    """(doc_id, answer, rounds): a document's blocks, reduced where the document lies."""
+class ReductionFailed(RuntimeError):
+    """The analyser failed for some batches; what it answered to the others is remembered."""
+
+
+def batched(units: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, batch, texts): a document's units (doc_id, place, text) in order, as many to a batch as fit with a character
+    between; longer ones are cut. Batches are numbered in a fold over sizes alone, so a document may be of any size."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / limit)).cast("int")
+    cut = F.transform(F.array("text"), lambda t: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(t, i * limit + 1, F.lit(limit))))[0]
+    pieces = checkpointed(units.select("doc_id", "place", F.posexplode(cut).alias("piece", "text")))
+
+    def step(state, size):
+        batch, used = state
+        batch, used = (batch, used + 1 + size) if batch >= 0 and used + 1 + size <= limit else (batch + 1, size)
+        return (batch, used), batch
+
+    sizes = pieces.select("doc_id", "place", "piece", F.length("text").cast("long").alias("size"))
+    numbered = folded(sizes, ["doc_id"], ["place", "piece"], "size", "batch", lambda: (-1, 0), step, "long")
+    together = pieces.alias("p").join(numbered.alias("n"), on=reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("doc_id", "place", "piece")])).select("p.*", "batch")
+    return together.groupBy("doc_id", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece", "text"))), lambda x: x["text"]).alias("texts"))
 
-    def run(batches):
-        for batch in batches:
-            rows = [reduce_texts((t or "").split("\n"), limit, analyse) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["doc_id", "answer", "rounds"])
 
+def reduced(documents: DataFrame, limit: int, analyse: Callable[[list[str]], str] = head, memo: str | None = None, run: str = "run", stage: str = "BOOK") -> DataFrame:
+    """(doc_id, answer, rounds, error): each document's lines, reduced level by level until one answer is left.
+
+    A level is a distributed round for all documents that are still open. Answers are kept in the folder ``memo`` by (run, stage,
+    document, level, batch, hash of the input), and what is there is not asked again: a second run asks nothing, and one
+    after ``ReductionFailed`` only what had failed. A null text is an empty line. A document whose answers don't get
+    shorter, or that isn't done after twelve levels, has the error DID_NOT_CONVERGE.
+    """
+    spark = documents.sparkSession
+    folder = memo or shared_folder(spark)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, answer string, rounds int")
+    columns = f"level int, doc_id {kind}, batch long, input_hash string, answer string"
+
+    def ask(batches):
+        for batch in batches:
+            answers, errors = [], []
+            for texts in batch.column("texts").to_pylist():
+                try:
+                    answer, error = analyse(texts), None
+                except Exception as failure:  # whatever a provider raises
+                    answer, error = None, f"{type(failure).__name__}: {failure}"
+                answers.append(answer)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "batch", "input_hash")), pa.array(answers, pa.string()), pa.array(errors, pa.string())], ["doc_id", "batch", "input_hash", "answer", "error"])
+
+    def remembered(level: int) -> DataFrame:
+        path = f"{folder}/run={run}/stage={stage}"
+        try:
+            known = spark.read.schema(columns).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = spark.createDataFrame([], columns)
+        return known.where(F.col("level") == level).drop("level")
+
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in ("doc_id", "batch", "input_hash")])
+    units = documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "text")).withColumn("place", F.col("place").cast("long"))
+    done = []
+    for level in range(1, MOST_ROUNDS + 1):
+        inputs = checkpointed(batched(units, limit).withColumn("input_hash", F.sha2(F.to_json("texts"), 256)))
+        known = remembered(level)
+        open_ = inputs.join(known, same(inputs, known), "left_anti").select("doc_id", "batch", "input_hash", "texts")
+        answers = checkpointed(open_.mapInArrow(ask, f"doc_id {kind}, batch long, input_hash string, answer string, error string"))
+        fresh = answers.where("error is null").select(F.lit(level).alias("level"), "doc_id", "batch", "input_hash", "answer")
+        if not fresh.isEmpty():
+            fresh.write.mode("append").parquet(f"{folder}/run={run}/stage={stage}")
+        failed = answers.where("error is not null").agg(F.count("*").alias("n"), F.min("error").alias("first")).first()
+        if failed["n"]:
+            raise ReductionFailed(f"{failed['n']} batches of level {level} failed, among them: {failed['first']}")
+        known = remembered(level)
+        answered = inputs.join(known, same(inputs, known)).select(inputs.doc_id, inputs.batch, "texts", "answer")
+        joined = lambda size, n: F.sum(size) + F.sum(n) - 1
+        before = F.aggregate("texts", F.lit(0), lambda a, t: a + F.length(t))
+        sums = answered.groupBy("doc_id").agg(F.count("*").alias("n"), joined(before, F.size("texts")).alias("before"), joined(F.length("answer"), F.lit(1)).alias("after"), F.max("answer").alias("answer"))
+        sums = checkpointed(sums.withColumn("stuck", (F.col("n") > 1) & ((F.col("after") >= F.col("before")) | F.lit(level == MOST_ROUNDS))))
+        done.append(sums.where("n = 1 or stuck").select(
+            "doc_id", F.when(~F.col("stuck"), F.col("answer")).alias("answer"), F.lit(level).alias("rounds"), F.when(F.col("stuck"), "DID_NOT_CONVERGE").alias("error")))
+        more = sums.where("n > 1 and not stuck").select(F.col("doc_id").alias("own"))
+        units = checkpointed(answered.join(more, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("doc_id", F.col("batch").alias("place"), F.col("answer").alias("text")))
+        if units.isEmpty():
+            break
+    return reduce(DataFrame.union, done)

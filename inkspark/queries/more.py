@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkspark.functions import pieces
 from inkspark.functions import text as t
 from inkspark.functions import vectors as v
+from inkspark.operators import anchors
 from inkspark.operators import decisions as d
 from inkspark.operators.vectors import closest
 from inkspark.plans import budgets, reduction
@@ -58,12 +59,33 @@ def title_key(spark, sf_dir):
     return keyed.select("doc_id", F.sha2("key", 256).alias("digest"))
 
 
-@query("x31_reanchoring", LINES + " SELECT doc_id, o::INTEGER AS ordinal, (instr(line, 'the') - 1)::INTEGER AS start, (instr(line, 'the') + 2)::INTEGER AS finish FROM b WHERE instr(line, 'the') > 0")
+REANCHORED = LINES + r""",
+l AS (SELECT doc_id || ':' || o AS block, line, length(line) AS n FROM b WHERE length(line) >= 40),
+e AS (
+  SELECT block, line, n, 1 AS k, 0 AS first, 12 AS last, substr(line, 11, 12) AS quote, 'old' AS hash FROM l
+  UNION ALL SELECT block, line, n, 2, 2, 9, substr(line, 1, 15) || '#', 'old' FROM l
+  UNION ALL SELECT block, line, n, 3, 5, n + 1, NULL, 'h' FROM l
+  UNION ALL SELECT block, NULL, NULL, 4, 0, 8, substr(line, 1, 8), 'h' FROM l
+  UNION ALL SELECT block, line, n, 5, 3, 20, NULL, 'h' FROM l
+  UNION ALL SELECT block, line, n, 6, 7, 7, '', 'h' FROM l),
+a AS (SELECT *, line IS NOT NULL AND quote <> '' AND contains(line, quote) AS held FROM e),
+p AS (SELECT *, CASE WHEN held THEN instr(line, quote) - 1 ELSE first END AS f, CASE WHEN held THEN instr(line, quote) - 1 + length(quote) ELSE last END AS z FROM a)
+SELECT block, k, f::BIGINT AS first, z::BIGINT AS last, CASE WHEN line IS NULL OR held THEN quote END AS quote,
+  CASE WHEN line IS NULL OR quote IS NULL THEN hash WHEN held THEN sha256(quote) END AS quote_hash, CASE WHEN line IS NULL THEN 'LINEAGE' WHEN f < 0 OR z <= f OR z > n THEN 'RANGE' END AS code FROM p"""
+
+
+@query("x31_reanchoring", REANCHORED)
 def reanchoring(spark, sf_dir):
-    """The first place of a quote in a block as UTF-16 offsets; blocks without it lose the evidence."""
-    found = blocks(docs(spark, sf_dir)).withColumn("at", F.instr("text", "the")).where("at > 0")
-    start = t.units(F.left("text", F.col("at") - 1))
-    return found.select("doc_id", "ordinal", start.alias("start"), (start + 3).alias("finish"))
+    """Six pieces of evidence for each long line: a quote at another place, one that is lost, an end beyond the line, a line that
+    isn't there, places without a quote, and an empty quote."""
+    lines = blocks(docs(spark, sf_dir)).where(F.length("text") >= 40).select(F.concat_ws(":", "doc_id", "ordinal").alias("block_id"), F.col("text").alias("content"))
+    n, text = F.length("content"), F.col("content")
+    given = [(1, 0, F.lit(12), F.substring(text, 11, 12), "old"), (2, 2, F.lit(9), F.concat(F.substring(text, 1, 15), F.lit("#")), "old"), (3, 5, n + 1, F.lit(None).cast("string"), "h"),
+             (4, 0, F.lit(8), F.substring(text, 1, 8), "h"), (5, 3, F.lit(20), F.lit(None).cast("string"), "h"), (6, 7, F.lit(7), F.lit(""), "h")]
+    cases = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("first"), b.cast("long").alias("last"), q.alias("quote"), F.lit(h).alias("quote_hash")) for k, a, b, q, h in given))).alias("e")
+    evidence = lines.select("block_id", cases).select("e.*", F.concat("block_id", F.when(F.col("e.k") == 4, "?").otherwise("")).alias("block_id"))
+    found = anchors.reanchored(evidence.withColumn("evidence_id", F.concat_ws("/", F.col("k").cast("string"), "block_id")), lines)
+    return found.select(F.regexp_replace("block_id", r"\?$", "").alias("block"), F.substring_index("evidence_id", "/", 1).cast("int").alias("k"), "first", "last", "quote", "quote_hash", "code")
 
 
 @query("f05_bibliographic", r"SELECT doc_id, regexp_matches(text, '(?i)^\s*(author|translator|isbn|publisher|copyright)\s*[:=]') AS bibliographic FROM documents")
@@ -181,7 +203,7 @@ def vector_unnest(spark, sf_dir):
 @query("p06_bounded_reduction")
 def bounded_reduction(spark, sf_dir):
     """Blocks of a document reduced in batches of bounded size until one answer is left."""
-    return reduction.reduced(docs(spark, sf_dir), 8000)
+    return reduction.reduced(docs(spark, sf_dir), 2000).drop("error")
 
 
 @query("p07_memory_plan", LINES + ", m AS (SELECT doc_id, o, sha256('LINE:' || trim(line)) AS key FROM b WHERE length(trim(line)) >= 40) SELECT doc_id, key, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INTEGER AS ordinal FROM (SELECT doc_id, key, min(o) AS first FROM m GROUP BY doc_id, key)")
