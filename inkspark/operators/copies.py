@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions.text import units
+from inkspark.sources.tables import checkpointed
 
 #: UTF-16 units of a shingle, between shingles, and of a text that is looked for whole.
 SHINGLE, STEP, WHOLE = 60, 20, 120
@@ -41,15 +41,19 @@ def hashes(points: np.ndarray) -> np.ndarray:
 
 
 def probe(h: np.ndarray) -> np.ndarray:
-    """Places of the least hash of each window of ``WHOLE`` units, the first of equal ones. Any text of that length has one, which
-    depends on the window alone, so it is found wherever the window lies."""
+    """The least hash of each window of ``WHOLE`` units, once each. They depend on the window alone, so a text that holds another
+    has all its probes. Least values of windows come from running minima within blocks of a window's width, from both sides."""
     width = WHOLE - SHINGLE + 1
-    return np.unique(sliding_window_view(h, width).argmin(axis=1) + np.arange(len(h) - width + 1)) if len(h) >= width else np.empty(0, np.int64)
+    many = len(h) - width + 1
+    if many <= 0:
+        return h[:0]
+    blocks = np.pad(h, (0, -len(h) % width), constant_values=np.iinfo(np.uint64).max).reshape(-1, width)
+    ahead, back = np.minimum.accumulate(blocks, axis=1).ravel(), np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.unique(np.minimum(back[:many], ahead[width - 1 : width - 1 + many]))
 
 
-def fingerprints(texts: DataFrame, keys: list[str], first: bool) -> DataFrame:
-    """(keys, kind, hash): hashes of the shingles of ``plain`` (kind ``shingle``), and of the places that a text containing the
-    whole can be found by (kind ``probe``): those of the first window only, with ``first``."""
+def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, kind, hash): hashes of the shingles of ``plain`` (kind ``shingle``), and of its probes (kind ``probe``)."""
     schema = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys) + ", kind string, hash long"
 
     def marks(text: str):
@@ -57,8 +61,7 @@ def fingerprints(texts: DataFrame, keys: list[str], first: bool) -> DataFrame:
         for low in range(0, max(1, len(wide) - SHINGLE + 1), RUN):
             h = hashes(wide[low : low + RUN + WHOLE - 1])
             yield False, h[:RUN][(-low) % STEP :: STEP]
-            if not (first and low):
-                yield True, h[probe(h[: WHOLE - SHINGLE + 1] if first else h)]
+            yield True, probe(h)
 
     def run(batches):
         for batch in batches:
@@ -76,29 +79,40 @@ def overlap(texts: DataFrame, keys: list[str], sources: DataFrame) -> DataFrame:
     """(keys, risk): the share of a text's shingles that begin ``STEP`` apart which the sources hold among theirs, and 1 if a text of
     ``WHOLE`` units or more lies in a source whole, at any offset; 0 for texts below a shingle.
 
-    ``texts`` has (keys, plain), ``sources`` (source_id, plain). Shares go by 64-bit hashes. For containment a text needs one
-    probe: sources are indexed by the least hash of each of their windows, a thirtieth of their places, and what the
-    probe meets is compared in full. Equal sources, and equal texts of one key, are compared once.
+    ``texts`` has (keys, plain), ``sources`` (source_id, plain). Shares go by 64-bit hashes. A text lies in those sources only that
+    have all its probes, a thirtieth of its places; it meets those that have the one fewest sources have, and is compared with
+    them in full, with one of them first. Equal texts, and equal sources, are one.
     """
-    marks = fingerprints(sources, ["source_id"], False)
+    named, there = texts.withColumn("own", F.xxhash64("plain", F.length("plain"))), sources.select(F.xxhash64("plain", F.length("plain")).alias("source"), "plain")
+    marks = fingerprints(there, ["source"])
     pool = marks.where("kind = 'shingle'").select(F.col("hash").alias("held")).distinct()
-    own = fingerprints(texts, keys, True)
+    own = fingerprints(named, [*keys, "own"])
     shared = own.where("kind = 'shingle'").join(pool, F.col("hash") == F.col("held"), "left").groupBy(*keys).agg((F.count("held") / F.count("*")).alias("share"))
-    met = own.where("kind = 'probe'").select(*keys, "hash").join(marks.where("kind = 'probe'").distinct(), "hash").select(*keys, "source_id").distinct()
-    long = texts.where(units(F.col("plain")) >= WHOLE).select(*keys, F.col("plain").alias("text"))
-    inside = met.join(long, keys).join(sources.select("source_id", F.col("plain").alias("source")), "source_id").where(F.contains("source", "text"))
-    whole = inside.select(*keys).distinct().withColumn("whole", F.lit(1.0))
-    return texts.select(*keys).join(shared, keys, "left").join(whole, keys, "left").select(*keys, F.coalesce("whole", "share", F.lit(0.0)).alias("risk"))
+    index = checkpointed(marks.where("kind = 'probe'").select("source", "hash").distinct())
+    many = index.groupBy("hash").agg(F.count("*").alias("n"))
+    rarest = own.where("kind = 'probe'").select("own", "hash").distinct().join(many, "hash", "left").groupBy("own").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash")).alias("x"))
+    met = checkpointed(rarest.where("x.n > 0").select("own", F.col("x.hash").alias("hash")).join(index, "hash").select("own", "source"))
+
+    def inside(pairs: DataFrame) -> DataFrame:
+        """Those of the texts in ``pairs`` (own, source) that lie in their source."""
+        one = named.select("own", F.col("plain").alias("text")).join(pairs.select("own").distinct(), "own", "left_semi").dropDuplicates(["own"])
+        two = there.select("source", F.col("plain").alias("whole")).join(pairs.select("source").distinct(), "source", "left_semi").dropDuplicates(["source"])
+        return pairs.join(one, "own").join(two, "source").where((units(F.col("text")) >= WHOLE) & F.contains("whole", "text")).select("own").distinct()
+
+    first = checkpointed(inside(met.groupBy("own").agg(F.min("source").alias("source"))))
+    rest = met.join(first, "own", "left_anti")
+    whole = first.union(inside(rest)).withColumn("whole", F.lit(1.0))
+    return named.select(*keys, "own").join(shared, keys, "left").join(whole, "own", "left").select(*keys, F.coalesce("whole", "share", F.lit(0.0)).alias("risk"))
 
 
 def script_risk(turns: DataFrame, sources: DataFrame) -> DataFrame:
     """(script, utterance_risk, segment_risk, script_risk, copy_risk): the greatest ``overlap`` of a turn, of a segment's turns in a row,
     and that of the whole script, and the greatest of the three. ``turns`` has (script, turn, segment, text)."""
-    own = turns.select("script", "turn", F.coalesce("segment", F.lit(0)).cast("long").alias("segment"), plain(F.col("text")).alias("plain"))
+    own = checkpointed(turns.select("script", "turn", F.coalesce("segment", F.lit(0)).cast("long").alias("segment"), plain(F.col("text")).alias("plain")))
     joined = F.array_join(F.array_sort(F.collect_list(F.struct("turn", "plain")))["plain"], "").alias("plain")
     levels = [own.select("script", F.lit("utterance").alias("level"), F.col("turn").cast("long").alias("place"), "plain"),
               own.groupBy("script", "segment").agg(joined).select("script", F.lit("segment").alias("level"), F.col("segment").alias("place"), "plain"),
               own.groupBy("script").agg(joined).select("script", F.lit("script").alias("level"), F.lit(0).cast("long").alias("place"), "plain")]
-    found = overlap(levels[0].union(levels[1]).union(levels[2]), ["script", "level", "place"], sources.select("source_id", plain(F.col("text")).alias("plain")))
+    found = overlap(levels[0].union(levels[1]).union(levels[2]), ["script", "level", "place"], checkpointed(sources.select("source_id", plain(F.col("text")).alias("plain"))))
     of = lambda level: F.max(F.when(F.col("level") == level, F.col("risk"))).alias(f"{level}_risk")
     return found.groupBy("script").agg(of("utterance"), of("segment"), of("script"), F.max("risk").alias("copy_risk"))

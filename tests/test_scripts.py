@@ -107,11 +107,12 @@ def test_overlap_against_brute_force(spark, monkeypatch):
     assert {0.0, 1.0} < set(got.values())
     # Runs of a long source overlap enough.
     points = np.random.default_rng(0).integers(97, 123, 3000).astype(np.uint16)
-    whole = {int(x) for x in copies.hashes(points)[copies.probe(copies.hashes(points))]}
+    h, width = copies.hashes(points), copies.WHOLE - copies.SHINGLE + 1
+    whole = {int(x) for x in copies.probe(h)}
+    assert whole == {int(h[i : i + width].min()) for i in range(len(h) - width + 1)}
     in_runs = set()
     for low in range(0, len(points) - copies.SHINGLE + 1, 700):
-        h = copies.hashes(points[low : low + 700 + copies.WHOLE - 1])
-        in_runs |= {int(x) for x in h[copies.probe(h)]}
+        in_runs |= {int(x) for x in copies.probe(copies.hashes(points[low : low + 700 + copies.WHOLE - 1]))}
     assert whole == in_runs
 
 
