@@ -10,8 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkspark.sources.tables import checkpointed
+
 #: Evidence of one block that a task looks for in one pass; more of it is dealt to further passes.
 QUOTES = 4096
+#: Blocks with more evidence than that which may be broadcast; beyond it they are joined.
+FEW = 10_000
 
 
 def first_places(text: str, quotes: set[str]) -> dict[str, int]:
@@ -44,12 +48,18 @@ def reanchored(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
     give a row; blocks have one row an id. A block with very much evidence is searched by several tasks.
     """
     rows = evidence.select("evidence_id", "block_id", F.col("first").cast("long"), F.col("last").cast("long"), "quote", "quote_hash")
-    many = rows.groupBy("block_id").agg(F.ceil(F.count("*") / QUOTES).alias("passes"))
-    left = rows.join(many, rows.block_id.eqNullSafe(many.block_id)).drop(many.block_id).withColumn("pass", F.pmod(F.xxhash64("evidence_id"), F.col("passes")))
-    right = blocks.select("block_id", "content").join(many, "block_id").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
+    # Only blocks with more evidence than a pass takes need passes; mostly there are none, so no row moves for them.
+    hot = checkpointed(rows.groupBy("block_id").agg(F.ceil(F.count("*") / QUOTES).alias("passes")).where("passes > 1"))
+    many = hot.count()
+    hot = F.broadcast(hot) if many <= FEW else hot
+    dealt = lambda df: (df.join(hot, "block_id", "left") if many else df.withColumn("passes", F.lit(None).cast("long"))).withColumn("passes", F.coalesce("passes", F.lit(1)))
+    left = dealt(rows).withColumn("pass", F.pmod(F.xxhash64("evidence_id"), F.col("passes")))
+    right = dealt(blocks.select("block_id", "content")).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
     both = left.select("block_id", "pass", "evidence_id", "first", "last", "quote", "quote_hash", F.lit(None).cast("string").alias("content"), F.lit(True).alias("asks")).unionByName(
         right.select("block_id", "pass", "content", F.lit(False).alias("asks")), allowMissingColumns=True)
 
+    kind = lambda c: evidence.schema[c].dataType.simpleString()
+
     def run(table: pa.Table) -> pa.Table:
         asks = table.filter(table.column("asks"))
         contents = [x for x in table.filter(pc.invert(table.column("asks"))).column("content").to_pylist() if x is not None]
@@ -72,5 +82,4 @@ def reanchored(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
         fields = [*(table.schema.field(c) for c in ("evidence_id", "block_id", "first", "last", "quote", "quote_hash")), pa.field("code", pa.string())]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 7, fields)], schema=pa.schema(fields))
 
-    kind = lambda c: evidence.schema[c].dataType.simpleString()
     return both.groupBy("block_id", "pass").applyInArrow(run, f"evidence_id {kind('evidence_id')}, block_id {kind('block_id')}, first long, last long, quote string, quote_hash string, code string")
