@@ -77,7 +77,7 @@ def budget_audit(budgets: DataFrame, carried: DataFrame, grants: DataFrame, extr
         F.count_if(here & there & ~(F.col("payload_digest").eqNullSafe(F.col("said_digest")) & F.col("sha").eqNullSafe(F.col("own_sha")))).alias("changed"),
         F.count_if(here & there & (~F.col("reserved").eqNullSafe(F.col("said")) | F.coalesce(odd, F.lit(True)))).alias("reservation"), F.count_if(here & there & F.col("extracted").isNull()).alias("extraction"),
         F.count_if(there).alias("n"), F.count_distinct(F.when(there, F.col("peer"))).alias("different"), F.coalesce(F.sum("said"), F.lit(0)).alias("gross"),
-        F.count_if(there & (~F.coalesce(F.col("said_digest").rlike(DIGEST), F.lit(False)) | F.coalesce(F.col("said") < 0, F.lit(True)) | (F.col("peer") == ""))).alias("malformed"))
+        F.count_if(there & (~F.coalesce(F.col("said_digest").rlike(DIGEST), F.lit(False)) | F.coalesce(F.col("said") < 0, F.lit(True)) | (F.length(F.col("peer").cast("string")) == 0))).alias("malformed"))
     twins = of.select("own", "workspace", "document", "sha").join(grants.select("workspace", "sha", F.col("document").alias("other")).distinct(), ["workspace", "sha"]).where("other <> document").select("own").distinct().withColumn("twin", F.lit(True))
     made = chained(peers, "own", ["created", "peer"], receipt("peer")).select("own", "place", F.col("chain").alias("made"))
     said = chained(carried.withColumnRenamed("place", "at"), "grant_id", ["at"], receipt("carried_id")).select(F.col("grant_id").alias("own"), "place", "chain")
@@ -109,13 +109,16 @@ def differing(one: DataFrame, two: DataFrame, fanout: int = 64) -> DataFrame:
     """(run, ordinal, one, two): the rows (run, ordinal, digest) in which two selections differ, null where one lacks them.
 
     Both are trees of digests over ranges of ordinals. Only the branches whose digests differ are followed down, so selections
-    that are alike cost a comparison of their roots once the trees are there.
+    that are alike cost a comparison of their roots once the trees are there. Rows of one ordinal are one, with a digest of all.
     """
+    one, two = (df.groupBy("run", F.col("ordinal").cast("long").alias("ordinal")).agg(F.sort_array(F.collect_list("digest")).alias("all")).select(
+        "run", "ordinal", F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.sha2(F.array_join("all", ","), 256)).alias("digest")) for df in (one, two))
+    one, two = checkpointed(one), checkpointed(two)
     most = max(df.agg(F.max("ordinal")).first()[0] or 0 for df in (one, two))
     height = 0
     while fanout**height <= most:
         height += 1
-    trees = [levels(checkpointed(df.select("run", F.col("ordinal").cast("long").alias("ordinal"), "digest")), height, fanout) for df in (one, two)]
+    trees = [levels(df, height, fanout) for df in (one, two)]
     open_ = None
     for level in range(height, -1, -1):
         sides = [tree[level].select("run", "node", F.col("digest").alias(name)) for tree, name in zip(trees, ("one", "two"))]

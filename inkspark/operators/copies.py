@@ -15,6 +15,8 @@ SHINGLE, STEP, WHOLE = 60, 20, 120
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Units of a source that are hashed at a time; runs overlap, so that no window is lost between them.
 RUN = 100_000
+#: Texts whose probes may be broadcast (16 bytes each); beyond that both sides are shuffled.
+FEW = 1_000_000
 
 
 def plain(text: Column) -> Column:
@@ -88,10 +90,13 @@ def overlap(texts: DataFrame, keys: list[str], sources: DataFrame) -> DataFrame:
     pool = marks.where("kind = 'shingle'").select(F.col("hash").alias("held")).distinct()
     own = fingerprints(named, [*keys, "own"])
     shared = own.where("kind = 'shingle'").join(pool, F.col("hash") == F.col("held"), "left").groupBy(*keys).agg((F.count("held") / F.count("*")).alias("share"))
-    index = checkpointed(marks.where("kind = 'probe'").select("source", "hash").distinct())
+    index = marks.where("kind = 'probe'").select("source", "hash")
     many = index.groupBy("hash").agg(F.count("*").alias("n"))
     rarest = own.where("kind = 'probe'").select("own", "hash").distinct().join(many, "hash", "left").groupBy("own").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash")).alias("x"))
-    met = checkpointed(rarest.where("x.n > 0").select("own", F.col("x.hash").alias("hash")).join(index, "hash").select("own", "source"))
+    rarest = checkpointed(rarest.where("x.n > 0").select("own", F.col("x.hash").alias("hash")))
+    # One row a text that may lie in a source; the sources' own probes, many more, then needn't move.
+    asked = F.broadcast(rarest) if rarest.count() <= FEW else rarest
+    met = checkpointed(index.join(asked, "hash").select("own", "source").distinct())
 
     def inside(pairs: DataFrame) -> DataFrame:
         """Those of the texts in ``pairs`` (own, source) that lie in their source."""
@@ -113,6 +118,6 @@ def script_risk(turns: DataFrame, sources: DataFrame) -> DataFrame:
     levels = [own.select("script", F.lit("utterance").alias("level"), F.col("turn").cast("long").alias("place"), "plain"),
               own.groupBy("script", "segment").agg(joined).select("script", F.lit("segment").alias("level"), F.col("segment").alias("place"), "plain"),
               own.groupBy("script").agg(joined).select("script", F.lit("script").alias("level"), F.lit(0).cast("long").alias("place"), "plain")]
-    found = overlap(levels[0].union(levels[1]).union(levels[2]), ["script", "level", "place"], checkpointed(sources.select("source_id", plain(F.col("text")).alias("plain"))))
+    found = overlap(levels[0].union(levels[1]).union(levels[2]), ["script", "level", "place"], sources.select("source_id", plain(F.col("text")).alias("plain")))
     of = lambda level: F.max(F.when(F.col("level") == level, F.col("risk"))).alias(f"{level}_risk")
     return found.groupBy("script").agg(of("utterance"), of("segment"), of("script"), F.max("risk").alias("copy_risk"))

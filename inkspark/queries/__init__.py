@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["metrics", "usage", "relations", "windows", "texts", "vectors", "dialogue", "documents", "decisions", "control", "more", "pieces", "records", "scripts", "surface", "books"]
+MODULES = ["metrics", "usage", "relations", "windows", "texts", "vectors", "dialogue", "documents", "decisions", "control", "more", "pieces", "records", "scripts", "surface", "books", "audits"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

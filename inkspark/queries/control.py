@@ -59,14 +59,6 @@ def deferred_work(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(ready, F.col("o_orderkey") == F.col("l_orderkey")).orderBy("o_orderdate", "o_orderkey").limit(25).select("o_orderkey")
 
 
-@query("p23_budget_audit", """
-WITH g AS (SELECT o_custkey, count(*) AS grants, sum(o_totalprice) AS gross FROM orders GROUP BY o_custkey)
-SELECT count(*)::BIGINT AS accounts, count(*) FILTER (gross > 2000000)::BIGINT AS over_cap, count(*) FILTER (grants = 0)::BIGINT AS empty FROM g""")
-def budget_audit(spark, sf_dir):
-    grants = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("grants"), F.sum("o_totalprice").alias("gross"))
-    return grants.agg(F.count("*").alias("accounts"), F.count_if(F.col("gross") > 2_000_000).alias("over_cap"), F.count_if(F.col("grants") == 0).alias("empty"))
-
-
 @query("p24_capacity", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'P')::BIGINT AS active, count(*) FILTER (o_orderstatus = 'P') < 16 AS admits FROM orders GROUP BY o_orderpriority")
 def capacity(spark, sf_dir):
     active = F.count_if(F.col("o_orderstatus") == "P")
@@ -98,16 +90,6 @@ def grounding(spark, sf_dir):
     return failures.groupBy("run", "code").agg(F.count("*").alias("n"))
 
 
-@query("p29_frozen_selection", """
-WITH s AS (SELECT l_orderkey, sha256(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey)) AS digest FROM lineitem GROUP BY l_orderkey)
-SELECT substr(digest, 1, 1) AS k, count(*)::BIGINT AS n FROM s GROUP BY 1""")
-def frozen_selection(spark, sf_dir):
-    """A manifest hash for each order's lines, counted by its first digit."""
-    items = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string")))
-    digests = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sha2(F.array_join(items, ","), 256).alias("digest"))
-    return digests.groupBy(F.substring("digest", 1, 1).alias("k")).agg(F.count("*").alias("n"))
-
-
 @query("p26_scene_gate", """
 SELECT conv_id, max(turn) + 1 = count(*) AND min(turn) = 0 AS contiguous, sum(length(text)) * 60 <= 1.15 * 400000 AS within_total FROM conversations GROUP BY conv_id""")
 def scene_gate(spark, sf_dir):

@@ -245,14 +245,6 @@ def admission(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", verdict.alias("verdict"))
 
 
-@query("p20_revision_overlay", """
-SELECT vec_id, CASE WHEN r IS NULL THEN 'REUSE' WHEN r % 3 = 0 THEN 'REFRESH_REQUIRED' ELSE 'REFRESHED' END AS vector_state FROM embeddings LEFT JOIN (SELECT doc_id AS r FROM documents WHERE n_chars > 1500) ON vec_id = r""")
-def revision_overlay(spark, sf_dir):
-    revised = table(spark, sf_dir, "documents").where("n_chars > 1500").select(F.col("doc_id").alias("r"))
-    state = d.first_of((F.col("r").isNull(), "REUSE"), (F.col("r") % 3 == 0, "REFRESH_REQUIRED"), otherwise="REFRESHED")
-    return table(spark, sf_dir, "embeddings").join(revised, F.col("vec_id") == F.col("r"), "left").select("vec_id", state.alias("vector_state"))
-
-
 @query("p27_audio_gate", """
 WITH a AS (SELECT conv_id, sum(length(text)) * 60 AS planned, sum(length(text) * (58 + turn % 7)) AS raw, count(DISTINCT role) AS voices FROM conversations GROUP BY conv_id)
 SELECT conv_id, abs(planned - raw) > greatest(100, 0.05 * planned) AS drifts, voices < 2 AS one_voice FROM a""")
