@@ -10,7 +10,6 @@ from inkspark.functions import text as t
 from inkspark.functions import vectors as v
 from inkspark.operators import anchors
 from inkspark.operators import decisions as d
-from inkspark.operators.vectors import closest
 from inkspark.plans import budgets, reduction
 from inkspark.queries import query
 from inkspark.queries.documents import GREEDY
@@ -254,18 +253,6 @@ def audio_gate(spark, sf_dir):
     return sums.select("conv_id", (F.abs(F.col("planned") - F.col("raw")) > F.greatest(F.lit(100.0), 0.05 * F.col("planned"))).alias("drifts"), (F.col("voices") < 2).alias("one_voice"))
 
 
-@query("p28_associations", """
-WITH unit AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
-p AS (SELECT a.vec_id AS x, b.vec_id AS y, b.label, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM unit a JOIN unit b ON a.label <> b.label WHERE a.vec_id % 100 = 0),
-best AS (SELECT *, row_number() OVER (PARTITION BY x, label ORDER BY s DESC, y) AS k FROM p)
-SELECT x, count(*) FILTER (s >= 0.3)::BIGINT AS books, arg_max(y, (s, -y)) AS best FROM best WHERE k = 1 GROUP BY x""")
-def associations(spark, sf_dir):
-    """For each asking vector (ids divisible by 100) its closest vector in every other book: how many are close, and the closest."""
-    rows = table(spark, sf_dir, "embeddings")
-    best = closest(rows.where("vec_id % 100 = 0"), rows, 1, None, by_label=True)
-    return best.groupBy(F.col("left_id").alias("x")).agg(F.count_if(F.col("score") >= 0.3).alias("books"), F.max_by("right_id", F.struct("score", -F.col("right_id"))).alias("best"))
-
-
 @query("s09_archive_entries")
 def archive_entries(spark, sf_dir):
     """Pages zipped as books and read again: entries, safe names and kinds of blocks."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkspark.functions import vectors as v
-from inkspark.operators.vectors import closest
+from inkspark.operators.associations import associated, current_vectors
 from inkspark.queries import query
 from inkspark.sources.tables import table
 
@@ -42,14 +42,36 @@ def vector_topk(spark, sf_dir):
     return scored.where("s is not null").orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", F.round("s", 6).alias("score"))
 
 
-@query("j09_vector_pairs", f"""
-WITH p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, {COS} AS c FROM embeddings a JOIN embeddings b ON len(a.embedding) = len(b.embedding) AND a.label <> b.label WHERE a.vec_id % 100 = 0)
-SELECT left_id, right_id, k::INTEGER AS rank, round(c, 6) AS cosine FROM (
-  SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS k FROM p WHERE c >= 0.3) WHERE k <= 3""")
+#: Memories of twenty books in turn, each with a second edition in the next book whose vector differs somewhat.
+EDITIONS = """
+WITH v AS (SELECT vec_id, vec_id % 20 AS label, embedding::DOUBLE[] AS e FROM embeddings
+  UNION ALL SELECT vec_id + 10000000, (vec_id + 1) % 20, list_transform(embedding::DOUBLE[], lambda x, i: x * (1 + (i - 1) % 4 * 0.25)) FROM embeddings)"""
+PAIRS = """p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM v a JOIN v b ON a.label <> b.label WHERE a.e IS NOT NULL AND b.e IS NOT NULL)"""
+
+
+def editions(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    again = rows.select((F.col("vec_id") + 10_000_000).alias("vec_id"), ((F.col("vec_id") + 1) % 20).alias("label"), F.transform("embedding", lambda x, i: x * (1 + i % 4 * 0.25)).alias("embedding"))
+    return rows.union(again)
+
+
+@query("j09_vector_pairs", EDITIONS + ", " + PAIRS + """
+SELECT left_id, right_id, k::INTEGER AS rank, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS k FROM p WHERE c >= 0.8) WHERE k <= 24""")
 def vector_pairs(spark, sf_dir):
-    """The three closest vectors of all other documents for each asking vector (ids divisible by 100)."""
-    rows = table(spark, sf_dir, "embeddings")
-    return closest(rows.where("vec_id % 100 = 0"), rows, 3, 0.3).select("left_id", "right_id", "rank", F.round("score", 6).alias("cosine"))
+    """For every vector the 24 closest ones of other books, at a cosine of 0.8 or more."""
+    return associated(editions(spark, sf_dir), 0.8, 24).select("left_id", "right_id", "rank", F.round("score", 6).alias("cosine"))
+
+
+@query("p28_associations", EDITIONS.replace("WITH v AS", "WITH o AS") + """,
+v AS (SELECT vec_id, label, CASE WHEN vec_id % 13 <> 0 THEN e WHEN vec_id % 26 = 0 THEN list_reverse(e) END AS e FROM o),
+""" + PAIRS + """
+SELECT left_id, right_id, k::INTEGER AS rank, round(c, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS k FROM p WHERE c >= 0.8) WHERE k <= 3""")
+def associations(spark, sf_dir):
+    """The three closest vectors of other books for every current vector, at 0.8 or more. Every 13th memory was revised; of those every
+    second has a new vector, the others none yet."""
+    rows = editions(spark, sf_dir)
+    revisions = rows.where("vec_id % 13 = 0").select("vec_id", F.when(F.col("vec_id") % 26 == 0, F.reverse("embedding")).alias("refreshed"))
+    return associated(current_vectors(rows, revisions), 0.8, 3).select("left_id", "right_id", "rank", F.round("score", 6).alias("similarity"))
 
 
 @query("p10_embedding_batches", "SELECT label, (k - 1) // 16 AS batch, count(*)::BIGINT AS n, min(vec_id)::BIGINT AS first FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) GROUP BY 1, 2")
