@@ -11,7 +11,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.operators.ordering import folded
 from inkspark.sources.tables import checkpointed, shared_folder
 
 MOST_ROUNDS = 12
@@ -53,21 +52,47 @@ class ReductionFailed(RuntimeError):
 
 
 def batched(units: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, batch, texts): a document's units (doc_id, place, text) in order, as many to a batch as fit with a character
-    between; longer ones are cut. Batches are numbered in a fold over sizes alone, so a document may be of any size."""
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / limit)).cast("int")
-    cut = F.transform(F.array("text"), lambda t: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(t, i * limit + 1, F.lit(limit))))[0]
-    pieces = checkpointed(units.select("doc_id", "place", F.posexplode(cut).alias("piece", "text")))
-
-    def step(state, size):
-        batch, used = state
-        batch, used = (batch, used + 1 + size) if batch >= 0 and used + 1 + size <= limit else (batch + 1, size)
-        return (batch, used), batch
-
-    sizes = pieces.select("doc_id", "place", "piece", F.length("text").cast("long").alias("size"))
-    numbered = folded(sizes, ["doc_id"], ["place", "piece"], "size", "batch", lambda: (-1, 0), step, "long")
-    together = pieces.alias("p").join(numbered.alias("n"), on=reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("doc_id", "place", "piece")])).select("p.*", "batch")
-    return together.groupBy("doc_id", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece", "text"))), lambda x: x["text"]).alias("texts"))
+    """(doc_id, batch, texts, size): a document's units (doc_id, place, text) in order, as many to a batch as fit with a character
+    between; longer ones are cut. ``size`` is the length of all. Units stream through a task in order, which holds one batch at a time,
+    so a document may be of any size."""
+    kind = units.schema["doc_id"].dataType.simpleString()
+
+    def filled(batches):
+        own, number, texts, used = None, -1, [], 0
+        for rows in batches:
+            for key, whole in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
+                if (key,) != own:
+                    if texts:
+                        yield own[0], number, texts
+                    own, number, texts, used = (key,), 0, [], 0
+                for text in (whole[i : i + limit] for i in range(0, max(1, len(whole)), limit)):
+                    if texts and used + 1 + len(text) > limit:
+                        yield key, number, texts
+                        number, texts, used = number + 1, [], 0
+                    used += len(text) + (1 if texts else 0)
+                    texts.append(text)
+        if texts:
+            yield own[0], number, texts
+
+    def run(batches):
+        made, chars = [], 0
+        for row in filled(batches):
+            made.append(row)
+            chars += sum(map(len, row[2]))
+            if chars > 4_000_000 or len(made) > 10_000:
+                yield record(made)
+                made, chars = [], 0
+        yield record(made)
+
+    field = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+
+    def record(made):
+        keys, numbers, texts = zip(*made) if made else ([], [], [])
+        sizes = [len("\n".join(x)) for x in texts]
+        return pa.RecordBatch.from_arrays([pa.array(keys, field), pa.array(numbers, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(sizes, pa.int64())], ["doc_id", "batch", "texts", "size"])
+
+    ordered = units.select("doc_id", "place", "text").repartition("doc_id").sortWithinPartitions("doc_id", "place")
+    return ordered.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, batch long, texts array<string>, size long")
 
 
 def reduced(documents: DataFrame, limit: int, analyse: Callable[[list[str]], str] = head, memo: str | None = None, run: str = "run", stage: str = "BOOK") -> DataFrame:
@@ -109,7 +134,9 @@ def reduced(documents: DataFrame, limit: int, analyse: Callable[[list[str]], str
     units = documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "text")).withColumn("place", F.col("place").cast("long"))
     done = []
     for level in range(1, MOST_ROUNDS + 1):
-        inputs = checkpointed(batched(units, limit).withColumn("input_hash", F.sha2(F.to_json("texts"), 256)))
+        table = shared_folder(spark)
+        batched(units, limit).withColumn("input_hash", F.sha2(F.to_json("texts"), 256)).write.parquet(table)
+        inputs = spark.read.parquet(table)
         known = remembered(level)
         open_ = inputs.join(known, same(inputs, known), "left_anti").select("doc_id", "batch", "input_hash", "texts")
         answers = checkpointed(open_.mapInArrow(ask, f"doc_id {kind}, batch long, input_hash string, answer string, error string"))
@@ -120,10 +147,9 @@ def reduced(documents: DataFrame, limit: int, analyse: Callable[[list[str]], str
         if failed["n"]:
             raise ReductionFailed(f"{failed['n']} batches of level {level} failed, among them: {failed['first']}")
         known = remembered(level)
-        answered = inputs.join(known, same(inputs, known)).select(inputs.doc_id, inputs.batch, "texts", "answer")
-        joined = lambda size, n: F.sum(size) + F.sum(n) - 1
-        before = F.aggregate("texts", F.lit(0), lambda a, t: a + F.length(t))
-        sums = answered.groupBy("doc_id").agg(F.count("*").alias("n"), joined(before, F.size("texts")).alias("before"), joined(F.length("answer"), F.lit(1)).alias("after"), F.max("answer").alias("answer"))
+        answered = inputs.join(known, same(inputs, known)).select(inputs.doc_id, inputs.batch, "size", "answer")
+        joined = lambda size: F.sum(size) + F.count("*") - 1
+        sums = answered.groupBy("doc_id").agg(F.count("*").alias("n"), joined("size").alias("before"), joined(F.length("answer")).alias("after"), F.max("answer").alias("answer"))
         sums = checkpointed(sums.withColumn("stuck", (F.col("n") > 1) & ((F.col("after") >= F.col("before")) | F.lit(level == MOST_ROUNDS))))
         done.append(sums.where("n = 1 or stuck").select(
             "doc_id", F.when(~F.col("stuck"), F.col("answer")).alias("answer"), F.lit(level).alias("rounds"), F.when(F.col("stuck"), "DID_NOT_CONVERGE").alias("error")))
