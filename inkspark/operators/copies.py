@@ -88,11 +88,12 @@ def overlap(texts: DataFrame, keys: list[str], sources: DataFrame) -> DataFrame:
     named, there = texts.withColumn("own", F.xxhash64("plain", F.length("plain"))), sources.select(F.xxhash64("plain", F.length("plain")).alias("source"), "plain")
     marks = fingerprints(there, ["source"])
     pool = marks.where("kind = 'shingle'").select(F.col("hash").alias("held")).distinct()
-    own = fingerprints(named, [*keys, "own"])
-    shared = own.where("kind = 'shingle'").join(pool, F.col("hash") == F.col("held"), "left").groupBy(*keys).agg((F.count("held") / F.count("*")).alias("share"))
+    # Rows carry two numbers: equal texts have equal shares, however often they are counted.
+    own = fingerprints(named, ["own"])
+    shared = own.where("kind = 'shingle'").select("own", "hash").join(pool, F.col("hash") == F.col("held"), "left").groupBy("own").agg((F.count("held") / F.count("*")).alias("share"))
     index = marks.where("kind = 'probe'").select("source", "hash")
     many = index.groupBy("hash").agg(F.count("*").alias("n"))
-    rarest = own.where("kind = 'probe'").select("own", "hash").distinct().join(many, "hash", "left").groupBy("own").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash")).alias("x"))
+    rarest = own.where("kind = 'probe'").select("own", "hash").join(many, "hash", "left").groupBy("own").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash")).alias("x"))
     rarest = checkpointed(rarest.where("x.n > 0").select("own", F.col("x.hash").alias("hash")))
     # One row a text that may lie in a source; the sources' own probes, many more, then needn't move.
     asked = F.broadcast(rarest) if rarest.count() <= FEW else rarest
@@ -107,7 +108,7 @@ def overlap(texts: DataFrame, keys: list[str], sources: DataFrame) -> DataFrame:
     first = checkpointed(inside(met.groupBy("own").agg(F.min("source").alias("source"))))
     rest = met.join(first, "own", "left_anti")
     whole = first.union(inside(rest)).withColumn("whole", F.lit(1.0))
-    return named.select(*keys, "own").join(shared, keys, "left").join(whole, "own", "left").select(*keys, F.coalesce("whole", "share", F.lit(0.0)).alias("risk"))
+    return named.select(*keys, "own").join(shared, "own", "left").join(whole, "own", "left").select(*keys, F.coalesce("whole", "share", F.lit(0.0)).alias("risk"))
 
 
 def script_risk(turns: DataFrame, sources: DataFrame) -> DataFrame:
