@@ -8,6 +8,7 @@ from inkspark.operators import admission
 from inkspark.queries import query
 from inkspark.sources.tables import table
 from inkspark.streaming import events as e
+from inkspark.streaming import outbox
 
 
 @query("r01_stream_dedupe", "SELECT user_id, event_type, count(*)::BIGINT AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id, event_type")
@@ -42,6 +43,14 @@ def outbox_merge(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.count("*").alias("kinds"))
 
 
+@query("r02_outbox_dispatch")
+def outbox_dispatch(spark, sf_dir):
+    """Each user's events as an outbox entry: sign-ups add it, views and clicks claim it for a day, purchases send it, errors give it back."""
+    kind = F.when(F.col("event_type") == "signup", "ADD").when(F.col("event_type") == "purchase", "SENT").when(F.col("event_type") == "error", "ERROR").otherwise("CLAIM")
+    stream = e.event_stream(spark, sf_dir).select(F.col("user_id").alias("entry"), "at", F.col("event_id").alias("number"), kind.alias("kind"), F.lit(None).cast("string").alias("error"))
+    return e.run_once(outbox.dispatched(stream, 86_400_000))
+
+
 @query("r12_heartbeats", """
 SELECT user_id, CASE WHEN count(*) FILTER (json_extract_string(props, '$.k') IS NULL) > 0 THEN 'UNKNOWN' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'DEGRADED' ELSE 'AVAILABLE' END AS state FROM events GROUP BY user_id""")
 def heartbeats(spark, sf_dir):
