@@ -6,7 +6,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +13,17 @@ from inkspark.sources.tables import checkpointed
 
 #: Evidence of one block that a task looks for in one pass; more of it is dealt to further passes.
 QUOTES = 4096
+#: So few quotes are looked for one by one, more by an automaton over all of them.
+FEW_QUOTES = 4
 #: Blocks with more evidence than that which may be broadcast; beyond it they are joined.
 FEW = 10_000
 
 
 def first_places(text: str, quotes: set[str]) -> dict[str, int]:
     """The first place, in UTF-16 units, of each quote that ``text`` holds: one pass over the text for all of them."""
+    if len(quotes) <= FEW_QUOTES:
+        found = {quote: at for quote in quotes if (at := text.find(quote)) >= 0}
+        return wide_places(text, found)
     import ahocorasick
 
     patterns = ahocorasick.Automaton()
@@ -32,6 +36,11 @@ def first_places(text: str, quotes: set[str]) -> dict[str, int]:
             found.setdefault(quote, last + 1 - len(quote))
             if len(found) == len(quotes):
                 break
+    return wide_places(text, found)
+
+
+def wide_places(text: str, found: dict[str, int]) -> dict[str, int]:
+    """Places in UTF-16 units from those in code points."""
     if text.isascii() or not found:
         return found
     # A character beyond the basic plane counts as two units.
@@ -58,20 +67,14 @@ def reanchored(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
     both = left.select("block_id", "pass", "evidence_id", "first", "last", "quote", "quote_hash", F.lit(None).cast("string").alias("content"), F.lit(True).alias("asks")).unionByName(
         right.select("block_id", "pass", "content", F.lit(False).alias("asks")), allowMissingColumns=True)
 
-    kind = lambda c: evidence.schema[c].dataType.simpleString()
+    names = ["evidence_id", "block_id", "first", "last", "quote", "quote_hash"]
 
-    def run(table: pa.Table) -> pa.Table:
-        asks = table.filter(table.column("asks"))
-        contents = [x for x in table.filter(pc.invert(table.column("asks"))).column("content").to_pylist() if x is not None]
-        text = contents[0] if contents else None
-        quotes = asks.column("quote").to_pylist()
-        found = first_places(text, {q for q in quotes if q}) if text is not None else {}
-        units = len(text.encode("utf-16-le", "surrogatepass")) // 2 if text is not None else 0
-        out = []
-        for key, block, first, last, quote, digest in zip(*(asks.column(c).to_pylist() for c in ("evidence_id", "block_id", "first", "last")), quotes, asks.column("quote_hash").to_pylist()):
-            if text is None:
-                out.append((key, block, first, last, quote, digest, "LINEAGE"))
-                continue
+    def anchored(text: str | None, rows: list[tuple]) -> list[tuple]:
+        if text is None:
+            return [(*row, "LINEAGE") for row in rows]
+        found = first_places(text, {row[4] for row in rows if row[4]})
+        units, out = len(text.encode("utf-16-le", "surrogatepass")) // 2, []
+        for key, block, first, last, quote, digest in rows:
             if quote is not None and quote in found:
                 first, digest = found[quote], hashlib.sha256(quote.encode("utf-8", "surrogatepass")).hexdigest()
                 last = first + len(quote.encode("utf-16-le", "surrogatepass")) // 2
@@ -79,7 +82,30 @@ def reanchored(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
                 quote = digest = None
             bad = first is None or last is None or first < 0 or last <= first or last > units
             out.append((key, block, first, last, quote, digest, "RANGE" if bad else None))
-        fields = [*(table.schema.field(c) for c in ("evidence_id", "block_id", "first", "last", "quote", "quote_hash")), pa.field("code", pa.string())]
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 7, fields)], schema=pa.schema(fields))
+        return out
 
-    return both.groupBy("block_id", "pass").applyInArrow(run, f"evidence_id {kind('evidence_id')}, block_id {kind('block_id')}, first long, last long, quote string, quote_hash string, code string")
+    def run(batches):
+        """A block's content comes before its evidence, which is looked for so many at a time."""
+        own, text, waiting, schema = None, None, [], None
+        for batch in batches:
+            schema = pa.schema([*(batch.schema.field(c) for c in names), pa.field("code", pa.string())])
+            done = []
+            for block, number, asks, content, *row in zip(*(batch.column(c).to_pylist() for c in ("block_id", "pass", "asks", "content", "evidence_id", "first", "last", "quote", "quote_hash"))):
+                if (block, number) != own or len(waiting) >= QUOTES:
+                    done += anchored(text, waiting)
+                    waiting = []
+                    own, text = (block, number), (text if (block, number) == own else None)
+                if asks:
+                    waiting.append((row[0], block, *row[1:]))
+                else:
+                    text = content
+            yield record(done, schema)
+        if waiting:
+            yield record(anchored(text, waiting), schema)
+
+    def record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+
+    kind = lambda c: evidence.schema[c].dataType.simpleString()
+    ordered = both.repartition("block_id", "pass").sortWithinPartitions("block_id", "pass", "asks")
+    return ordered.mapInArrow(run, f"evidence_id {kind('evidence_id')}, block_id {kind('block_id')}, first long, last long, quote string, quote_hash string, code string")

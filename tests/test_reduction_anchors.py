@@ -83,7 +83,7 @@ def test_reanchored(spark, monkeypatch):
 
 def test_first_places_against_find():
     rng = random.Random(5)
-    for _ in range(200):
+    for _ in range(300):
         text = "".join(rng.choice("abé😀") for _ in range(rng.randrange(60)))
         quotes = {"".join(rng.choice("abé😀") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(9))}
         want = {q: len(text[: text.index(q)].encode("utf-16-le")) // 2 for q in quotes if q in text}
