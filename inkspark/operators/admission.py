@@ -14,6 +14,7 @@ FINAL = ("CONTENT_REJECTED CANCELLED BUDGET_EXCEEDED AUTHORIZATION_FAILED CREDEN
 FREE, PAID = "QUOTA_EXCEEDED RATE_LIMITED CIRCUIT_OPEN TRANSIENT_UPSTREAM TIMEOUT".split(), "OUTPUT_TRUNCATED INVALID_PROVIDER_RESPONSE".split()
 #: Slots whose answers must be structured.
 STRUCTURED = "PODCAST_SCRIPT SHORT_VIDEO_SCRIPT THINKING_SESSION BOOK_SEMANTIC_REVIEW".split()
+#: Fixed value: what a host with a made-up life says.
 FABRICATED = r"(?i)我去年.{0,12}(?:创业|工作|经历)|我朋友.{0,12}(?:正好|曾经|就是)|I once worked at|when I worked at"
 
 
