@@ -99,10 +99,13 @@ def overlap(texts: DataFrame, keys: list[str], sources: DataFrame) -> DataFrame:
     asked = F.broadcast(rarest) if rarest.count() <= FEW else rarest
     met = checkpointed(index.join(asked, "hash").select("own", "source").distinct())
 
+    few = met.count() <= FEW
+    chosen = lambda df: F.broadcast(df) if few else df
+
     def inside(pairs: DataFrame) -> DataFrame:
-        """Those of the texts in ``pairs`` (own, source) that lie in their source."""
-        one = named.select("own", F.col("plain").alias("text")).join(pairs.select("own").distinct(), "own", "left_semi").dropDuplicates(["own"])
-        two = there.select("source", F.col("plain").alias("whole")).join(pairs.select("source").distinct(), "source", "left_semi").dropDuplicates(["source"])
+        """Those of the texts in ``pairs`` (own, source) that lie in their source. Of texts and sources only those of the pairs move."""
+        one = named.select("own", F.col("plain").alias("text")).join(chosen(pairs.select("own").distinct()), "own", "left_semi").dropDuplicates(["own"])
+        two = there.select("source", F.col("plain").alias("whole")).join(chosen(pairs.select("source").distinct()), "source", "left_semi").dropDuplicates(["source"])
         return pairs.join(one, "own").join(two, "source").where((units(F.col("text")) >= WHOLE) & F.contains("whole", "text")).select("own").distinct()
 
     first = checkpointed(inside(met.groupBy("own").agg(F.min("source").alias("source"))))
