@@ -20,7 +20,10 @@ POINTS, PIVOTS = 2000, 512
 #: Points drawn for each pivot that is chosen from them: 4,096 at most.
 DRAWN = 8
 #: Components of the vectors that meet in a task, and askers that they meet there.
-BLOCK, ASKING = 2_000_000, 1024
+BLOCK, ASKING = 8_000_000, 65_536
+#: How often a vector may move on average, as long as fewer cells keep to it. Where directions have no clusters, hardly a cell is excluded,
+#: and a copy for each would grow with the square of the rows.
+MOVES = 12
 SLACK = 1e-6
 
 
@@ -71,6 +74,26 @@ def visits(v: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray,
     return home, ~beyond
 
 
+def tiles(home: np.ndarray, inside: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks of askers, chunks of candidates) of cells with so many of them."""
+    return tuple(np.maximum(1, np.ceil(np.asarray(x) / size)).astype(np.int64) for x, size in ((home, ASKING), (inside, per)))
+
+
+def fewest(drawn: np.ndarray, pivots: np.ndarray, many: int, reach: float, per: int) -> np.ndarray:
+    """The first so many pivots with which ``many`` points like those drawn compare least, among those that move them up to ``MOVES`` times on
+    average, or that move them least."""
+    options = []
+    for n in sorted({*(1 << np.arange(len(pivots).bit_length())), len(pivots)}):
+        if n > len(pivots):
+            continue
+        home, inside = visits(drawn, pivots[:n], reach)
+        homes, insides = (x * many / len(drawn) for x in (np.bincount(home, minlength=n), inside.sum(axis=0)))
+        blocks, chunks = tiles(homes, insides, per)
+        moves = (homes * chunks + insides * blocks).sum() / many
+        options.append((max(moves, MOVES), (homes * insides).sum(), n))
+    return pivots[: min(options)[2]]
+
+
 def associated(rows: DataFrame, least: float = 0.8, k: int = 3) -> DataFrame:
     """(left_id, right_id, rank, score): for every vector the ``k`` closest ones of other labels with a cosine of ``least`` or more, smaller ids
     first among equals.
@@ -96,8 +119,9 @@ def near(points: DataFrame, many: int, reach: float, least: float, k: int) -> Da
     """(key, right_id, score) of points of one length: the best that each finds in each block of its cell."""
     wanted = min(PIVOTS, max(1, many // POINTS))
     drawn = points.orderBy(F.xxhash64("key"), "key").limit(DRAWN * wanted).select("e").toArrow()
-    pivots = spread(matrix(drawn.column("e")), wanted)
-    per = max(1, BLOCK // pivots.shape[1])
+    sample = matrix(drawn.column("e"))
+    per = max(1, BLOCK // sample.shape[1])
+    pivots = fewest(sample, spread(sample, wanted), many, reach, per)
 
     def count(batches):
         total = np.zeros((2, len(pivots)), np.int64)
@@ -107,7 +131,7 @@ def near(points: DataFrame, many: int, reach: float, least: float, k: int) -> Da
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots), dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], ["cell", "home", "inside"])
 
     sums = points.select("e").mapInArrow(count, "cell int, home long, inside long").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("inside").alias("inside")).orderBy("cell").collect()
-    blocks, chunks = (np.maximum(1, np.ceil(np.array([r[name] for r in sums]) / size)).astype(np.int64) for name, size in (("home", ASKING), ("inside", per)))
+    blocks, chunks = tiles([r["home"] for r in sums], [r["inside"] for r in sums], per)
     names = ["key", "label", "e", "ids"]
 
     def deal(batches):
@@ -123,7 +147,10 @@ def near(points: DataFrame, many: int, reach: float, least: float, k: int) -> Da
                 mine = (h[at] % own[to].astype(np.uint64)).astype(np.int64)
                 for low in range(0, len(at), 4096):
                     s = slice(low, low + 4096)
+                    # Askers are known by their keys, candidates by their ids.
                     some = batch.select(names).take(pa.array(at[s]))
+                    field = some.schema.field("ids" if asks else "key")
+                    some = some.set_column(names.index(field.name), field, pa.nulls(len(some), field.type))
                     block, chunk = (mine[s], other[s]) if asks else (other[s], mine[s])
                     for name, value in (("cell", to[s].astype(np.int32)), ("block", block), ("chunk", chunk), ("asks", np.full(len(to[s]), asks))):
                         some = some.append_column(name, pa.array(value))
@@ -137,15 +164,17 @@ def near(points: DataFrame, many: int, reach: float, least: float, k: int) -> Da
             ids = others.column("ids").to_pylist()
             order = np.argsort([x[0] for x in ids], kind="stable")
             v, labels = matrix(others.column("e"))[order], others.column("label").to_numpy()[order]
-            # Sums of equal vectors may differ in their last bits.
-            for low in range(0, asking.num_rows, 128):
-                some = asking.slice(low, 128)
-                scores = np.round(matrix(some.column("e")) @ v.T, 12)
-                scores[some.column("label").to_numpy()[:, None] == labels[None, :]] = -2
-                for i, key in enumerate(some.column("key").to_pylist()):
-                    at = np.flatnonzero(scores[i] >= least)
-                    for place in at[np.argsort(-scores[i, at], kind="stable")[:k]]:
-                        out += [(key, own, float(scores[i, place])) for own in ids[order[place]]]
+            for low in range(0, asking.num_rows, 64):
+                some = asking.slice(low, 64)
+                scores = matrix(some.column("e")) @ v.T
+                for i, (key, label) in enumerate(zip(some.column("key").to_pylist(), some.column("label").to_pylist())):
+                    at = np.flatnonzero(scores[i] >= least - SLACK)
+                    # Sums of equal vectors may differ in their last bits.
+                    own = np.round(scores[i, at], 12)
+                    fits = (own >= least) & (labels[at] != label)
+                    at, own = at[fits], own[fits]
+                    for place in np.argsort(-own, kind="stable")[:k]:
+                        out += [(key, x, float(own[place])) for x in ids[order[at[place]]]]
         kinds = [pa.string(), pa.int64(), pa.float64()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 3, kinds)], ["key", "right_id", "score"])
 

@@ -53,3 +53,17 @@ def test_revised_vectors(spark):
     got = {r["vec_id"]: r["embedding"] for r in associations.current_vectors(rows, revisions).collect()}
     assert got == {1: [1.0, 0.0], 2: [0.0, 1.0]}
     assert associations.associated(rows.limit(0)).collect() == []
+
+
+def test_vectors_without_clusters_move_a_bounded_number_of_times():
+    drawn = np.random.default_rng(5).normal(size=(400, 64))
+    drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
+    per, many, reach = associations.BLOCK // 64, 100_000, 0.4**0.5
+    spread = associations.spread(drawn, 50)
+    for pivots, most in ((associations.fewest(drawn, spread, many, reach, per), associations.MOVES), (spread, 60)):
+        home, inside = associations.visits(drawn, pivots, reach)
+        homes, insides = np.bincount(home, minlength=len(pivots)) * many / len(drawn), inside.sum(axis=0) * many / len(drawn)
+        blocks, chunks = associations.tiles(homes, insides, per)
+        moves = (homes * chunks + insides * blocks).sum() / many
+        assert moves <= most
+    assert moves > associations.MOVES  # a cell for each pivot
