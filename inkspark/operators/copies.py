@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions.text import units
-from inkspark.sources.tables import checkpointed
+from inkspark.sources.tables import checkpointed, parts
 
 #: UTF-16 units of a shingle, between shingles, and of a text that is looked for whole.
 SHINGLE, STEP, WHOLE = 60, 20, 120
@@ -54,19 +54,21 @@ def probe(h: np.ndarray) -> np.ndarray:
     return np.unique(np.minimum(back[:many], ahead[width - 1 : width - 1 + many]))
 
 
+def marks(text: str):
+    """(whether they are probes, hashes) of each run of a text."""
+    wide = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+    for low in range(0, max(1, len(wide) - SHINGLE + 1), RUN):
+        h = hashes(wide[low : low + RUN + WHOLE - 1])
+        yield False, h[:RUN][(-low) % STEP :: STEP].copy()  # a view would keep all of ``h``
+        yield True, probe(h)
+
+
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, kind, hash): hashes of the shingles of ``plain`` (kind ``shingle``), and of its probes (kind ``probe``)."""
     schema = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys) + ", kind string, hash long"
 
-    def marks(text: str):
-        wide = np.frombuffer(text.encode("utf-16-le"), np.uint16)
-        for low in range(0, max(1, len(wide) - SHINGLE + 1), RUN):
-            h = hashes(wide[low : low + RUN + WHOLE - 1])
-            yield False, h[:RUN][(-low) % STEP :: STEP]
-            yield True, probe(h)
-
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "plain"):
             found = [(row, *mark) for row in range(batch.num_rows) for mark in marks(batch.column("plain")[row].as_py() or "")]
             sizes = [len(h) for *_, h in found]
             rows = pa.array(np.repeat([row for row, *_ in found], sizes).astype(np.int64))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspark.functions.text import units
+from inkspark.sources.tables import parts
 
 LEVELS = range(1, 7)
 
@@ -130,7 +131,7 @@ def chunked(documents: DataFrame, heading, target: int = 1200, most: int = 1600)
     nothing is shuffled. Lengths count UTF-16 units."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "text"):
             ids, rows = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 own = packed(text or "", heading, target, most)

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Event types that play the roles of product activities.
 ENROLMENT, ANALYSIS, MEANINGFUL, SESSION = "signup", "view", "purchase", "click"
+#: Rows and bytes of a column that a Python step takes at a time.
+PART_ROWS, PART_BYTES = 1024, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +49,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of ``PART_ROWS`` rows at most and about ``PART_BYTES`` of a column of texts or bytes, one row at least: a
+    batch holds as many rows as Spark gives it, however long they are."""
+    for batch in batches:
+        texts = batch.column(column)
+        texty = pa.types.is_string(texts.type) or pa.types.is_binary(texts.type) or pa.types.is_large_string(texts.type)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) if texty else np.zeros(len(texts), np.int64)
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART_BYTES, "right"))
+            stop = min(max(stop, start + 1), start + PART_ROWS)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def as_of(events: DataFrame) -> DataFrame:
     """One row with the last time that is known."""
     return events.agg(F.max("ts").alias("as_of"))
