@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.sources.markup import page_blocks
-from inkspark.sources.tables import shared_folder
+from inkspark.sources.tables import parts, shared_folder
 
 __all__ = ["entries", "published", "shared_folder", "zipped"]
 
@@ -22,7 +22,7 @@ def zipped(pages: DataFrame) -> DataFrame:
     """(page_id, content): each page as the one chapter of an archive."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "html"):
             out = []
             for html in batch.column("html").to_pylist():
                 buffer = io.BytesIO()
@@ -39,7 +39,7 @@ def faulty(pages: DataFrame) -> DataFrame:
     entry that grows too much, 3 a changed byte, 4 none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "html"):
             out = []
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 fault, buffer = page_id % 5, io.BytesIO()
@@ -76,7 +76,7 @@ def entries(books: DataFrame) -> DataFrame:
     """(page_id, entry, kind, blocks, error) for each kind of block in an archive's chapters, in order of names."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, "content"):
             owner, rows = [], []
             for i, content in enumerate(batch.column("content").to_pylist()):
                 try:
