@@ -38,6 +38,14 @@ def test_wrapper_drops_the_template(spark):
     assert texts[20].startswith("Welcome to our site Title 20") and texts[30] == texts[31] == "" and texts[32] == "a" and texts[None] == "no id"
 
 
+def test_each_kind_of_page_has_its_template(spark):
+    """Eight kinds of pages of one host, more than a text has references; and a slot of few values, which is no template."""
+    rows = [(k * 100 + i, f"http://kinds.example/{k}/{i}", f"<body><p>Whole site</p><div class='k{k}'><b>Kind {k} template</b><h1>Title {k} {i}</h1><i>Topic {i % 4}</i></div></body>")
+            for k in range(8) for i in range(12)]
+    texts = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts == {k * 100 + i: f"Title {k} {i} Topic {i % 4}" for k in range(8) for i in range(12)}
+
+
 def test_wrappers_meet_in_a_shuffle_when_large(spark):
     df = spark.createDataFrame([page(i) for i in range(8)], "page_id long, url string, html string")
     one, two = (sorted(map(str, wrapper.extract(df, wrapper.Settings(small=n)).collect())) for n in (20_000, 0))
