@@ -253,6 +253,25 @@ def test_chaining_looks_past_excerpts(spark, many):
     assert {r["doc_id"] for r in got} | {r["of_doc_id"] for r in got} == {6, 8, 9}
 
 
+@pytest.mark.parametrize("holders", [0, 60])
+def test_chaining_finds_edited_passages_of_frequent_words(spark, holders):
+    """Pairs that share an edited passage, of which many documents of smaller id hold parts that are too short to count."""
+    rng, word = random.Random(6), lambda: f"w{rng.randrange(10**9)}"
+    noise = lambda n: [word() for _ in range(n)]
+    passages = [noise(100) for _ in range(10)]
+    texts = [sum((noise(20) + p[at : at + 40] for p in passages for at in [rng.randrange(60)]), []) for _ in range(holders)]
+    pairs = set()
+    for p in passages:
+        edited = p[:]
+        for at in rng.sample(range(100), 10):
+            edited[at] = word()
+        pairs.add((len(texts) + 1, len(texts)))
+        texts += [noise(30) + p + noise(30), noise(10) + edited + noise(50)]
+    got = chaining.shared_passages(frame(spark, [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    found = {(r["doc_id"], r["of_doc_id"]) for r in got}
+    assert found >= pairs and all(r["similarity"] >= 0.8 and r["end_word"] - r["start_word"] >= 50 for r in got)
+
+
 def test_chaining_empty(spark):
     assert chaining.shared_passages(frame(spark, [])).collect() == []
     assert chaining.shared_passages(frame(spark, awkward())).collect() == []
