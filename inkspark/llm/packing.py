@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import functools
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,11 @@ LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
 MARKS = r"[!-&(-/:-@\[-`{-~]+"
 
 
+def strings(words: pa.Array) -> list[str]:
+    """A list of an array without nulls, by one call in place of one for each item."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class Words:
     """Ids of whole texts, word by word.
 
@@ -49,8 +55,8 @@ class Words:
 
     def in_lines(self, words: pa.Array, per_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of words with so many pre-tokens each."""
-        texts = words.to_pylist()
-        lines = [" ".join(texts[low : low + 1000]) for low in range(0, len(texts), 1000)]
+        lists = pa.ListArray.from_arrays(pa.array([*range(0, len(words), 1000), len(words)], pa.int32()), words)
+        lines = strings(pc.binary_join(lists, pa.scalar(" ", words.type)))
         found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.concatenate([*found, np.empty(0, np.uint32)])
         ends = np.flatnonzero(self.closes[ids])[np.cumsum(per_word) - 1] + 1
@@ -62,7 +68,7 @@ class Words:
         marked &= ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False).astype(bool)
         easy = plain | marked
         ids, sizes = self.in_lines(words.filter(pa.array(easy)), 1 + marked[easy])
-        alone = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(words.filter(pa.array(~easy)).to_pylist(), add_special_tokens=False)]
+        alone = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(strings(words.filter(pa.array(~easy))), add_special_tokens=False)]
         all_sizes = np.empty(len(words), np.int64)
         all_sizes[easy], all_sizes[~easy] = sizes, [len(x) for x in alone]
         begin = np.concatenate([[0], np.cumsum(all_sizes)])
@@ -74,8 +80,8 @@ class Words:
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(table of ids, first id, number) for each word."""
-        texts, known = words.to_pylist(), self.known
-        at = np.fromiter((known.get(w, -1) for w in texts), np.int64, len(texts))
+        texts, known = strings(words), self.known
+        at = np.fromiter(map(known.get, texts, repeat(-1)), np.int64, len(texts))
         unknown = np.flatnonzero(at < 0)
         ids, sizes = self.new(words.take(pa.array(unknown)))
         begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
