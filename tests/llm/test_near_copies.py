@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -331,3 +332,28 @@ def test_word_hashes_tell_words_apart():
     hashes = chaining.word_hashes(pa.array(words))
     assert len(set(hashes.tolist())) == len(set(words)) and (chaining.word_hashes(pa.array(["pad", *words]))[1:] == hashes).all()
     assert (chaining.word_hashes(pa.array(["pad", *words]).slice(1)) == hashes).all() and not len(chaining.word_hashes(pa.array([], pa.string())))
+
+
+def test_windows_that_cannot_agree_are_not_aligned():
+    """Runs of one word among other words hold no passage; all windows that have one, or go on, are still tried."""
+    s, drawn = chaining.Settings(), np.random.default_rng(7)
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.list_(pa.int32())), ("size", pa.int32())]))
+    cases = []
+    for n in range(300):
+        one, two = drawn.integers(0, 400, 148), drawn.integers(0, 400, 148)
+        one[64:84] = two[64:84] = -1 if n % 3 == 0 else drawn.integers(400, 500, 20)
+        if n % 3 == 2:
+            low, high = 64 - drawn.integers(0, 65), 84 + drawn.integers(0, 65)
+            two[low:high] = one[low:high]
+            two[drawn.integers(0, 148, 8)] = -2
+        cases.append((one.astype(np.int32), two.astype(np.int32), bool(n % 2)))
+    side = lambda k: pa.array([[{"first": 0 if c[2] else 9, "words": c[k].tolist(), "size": 148 if c[2] else 200}] for c in cases], kind)
+    fine, on = chaining.hopeful((side(0), side(1)), s.margin, s)
+    tried = [bool(on[i] or fine[i] and chaining.subsequence(one, two) >= 40) for i, (one, two, _) in enumerate(cases)]
+    real = []
+    for one, two, whole in cases:
+        runs, ends = np.array([[64, 64, 4], [80, 80, 4]]), (whole,) * 4
+        found = list(chaining.passages(one, two, runs, ends, s)) or [x for own in chaining.reseeded(one, two, s) for x in chaining.passages(one, two, own, ends, s)]
+        real.append(bool(found))
+    assert sum(real) > 50 and not any(r and not t for r, t in zip(real, tried))
+    assert not any(tried[::3]) and sum(tried) < 110
