@@ -17,6 +17,8 @@ MODULUS, BASE, BITS = 2**61 - 1, 1_000_003, 40
 DIGEST = "^[a-f0-9]{64}$"
 # The most grants carried, what grants may have come to, and the limits of a revision's patch.
 MOST_CARRIED = 200
+#: Rows that may be broadcast; more are joined by shuffle.
+FEW = 1_000_000
 SETTLED = ["SUCCEEDED", "FAILED", "CANCELLED"]
 REASON, TEXT, SUMMARY_EVIDENCE, CHANGES, CHANGE_EVIDENCE, KEY = 2000, 20_000, 128, 64, 32, 128
 
@@ -96,37 +98,41 @@ def budget_audit(budgets: DataFrame, carried: DataFrame, grants: DataFrame, extr
     return rows.select(F.col("own").alias("grant_id"), found.alias("codes"), F.when(whole_list, F.col("first_difference")).alias("first_difference"))
 
 
-def levels(rows: DataFrame, height: int, fanout: int) -> list[DataFrame]:
-    """Digests (run, node, digest) by level: of the rows (run, ordinal, digest) themselves, then of ``fanout`` nodes in a row, up to one."""
-    out = [rows.select("run", F.col("ordinal").alias("node"), "digest")]
-    for _ in range(height):
-        own = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"]))
-        out.append(checkpointed(out[-1].groupBy("run", F.floor(F.col("node") / fanout).alias("node")).agg(F.sha2(F.array_join(own, ","), 256).alias("digest"))))
-    return out
+def unlike(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(run, ordinal, ones, twos): ordinals at which the rows (run, ordinal, digest) of two selections differ, with the number of
+    either's rows; written. Rows without a run or ordinal don't count.
+
+    All rows meet once, as 120 bits of their digests' digests, combined by tasks before they move. Where a selection
+    has several rows at an ordinal, all their digests are compared.
+    """
+    hashed = F.sha2(F.coalesce("digest", F.lit("\0")), 256)
+    bits = [F.conv(F.substr(hashed, F.lit(at), F.lit(15)), 16, 10).cast("long") for at in (1, 16)]
+    placed = [df.where("run is not null and ordinal is not null").select("run", F.col("ordinal").cast("long").alias("ordinal"), "digest") for df in (one, two)]
+    sides = [df.select("run", "ordinal", bits[0].alias("x"), bits[1].alias("y"), F.lit(k == 0).alias("first")) for k, df in enumerate(placed)]
+    met = sides[0].union(sides[1]).groupBy("run", "ordinal").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.count_if("first").alias("ones"), F.count_if(~F.col("first")).alias("twos"))
+    left = checkpointed(met.where("ones <> 1 or twos <> 1 or x <> 0 or y <> 0").select("run", "ordinal", "ones", "twos"))
+    several = left.where("ones > 0 and twos > 0 and ones = twos and ones > 1").select("run", "ordinal")
+    n = several.count()
+    if not n:
+        return left
+    asked = F.broadcast(several) if n <= FEW else several
+    gathered = (df.join(asked, ["run", "ordinal"], "left_semi").groupBy("run", "ordinal").agg(F.sort_array(F.collect_list("digest")).alias(name)) for df, name in zip(placed, ("a", "b")))
+    same = next(gathered).join(next(gathered), ["run", "ordinal"]).where("a = b").select("run", "ordinal")
+    return checkpointed(left.join(same, ["run", "ordinal"], "left_anti"))
 
 
 def differing(one: DataFrame, two: DataFrame, fanout: int = 64) -> DataFrame:
     """(run, ordinal, one, two): the rows (run, ordinal, digest) in which two selections differ, null where one lacks them.
 
-    Both are trees of digests over ranges of ordinals. Only the branches whose digests differ are followed down, so selections
-    that are alike cost a comparison of their roots once the trees are there. Rows of one ordinal are one, with a digest of all.
+    Only rows of the ranges of ``fanout`` ordinals that hold an ``unlike`` one are looked at again. Rows of one ordinal are one, with
+    a digest of all.
     """
-    one, two = (df.groupBy("run", F.col("ordinal").cast("long").alias("ordinal")).agg(F.sort_array(F.collect_list("digest")).alias("all")).select(
-        "run", "ordinal", F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.sha2(F.array_join("all", ","), 256)).alias("digest")) for df in (one, two))
-    one, two = checkpointed(one), checkpointed(two)
-    most = max(df.agg(F.max("ordinal")).first()[0] or 0 for df in (one, two))
-    height = 0
-    while fanout**height <= most:
-        height += 1
-    trees = [levels(df, height, fanout) for df in (one, two)]
-    open_ = None
-    for level in range(height, -1, -1):
-        sides = [tree[level].select("run", "node", F.col("digest").alias(name)) for tree, name in zip(trees, ("one", "two"))]
-        if open_ is not None:
-            sides = [s.withColumn("above", F.floor(F.col("node") / fanout)).join(open_, ["run", "above"], "left_semi").drop("above") for s in sides]
-        unlike = sides[0].join(sides[1], ["run", "node"], "full_outer").where(~F.col("one").eqNullSafe(F.col("two")))
-        open_ = checkpointed(unlike.select("run", F.col("node").alias("above"))) if level else None
-    return unlike.select("run", F.col("node").alias("ordinal"), "one", "two")
+    node = F.floor(F.col("ordinal").cast("long") / fanout).alias("node")
+    ranges = unlike(one, two).select("run", node).distinct()
+    ranges = F.broadcast(ranges) if ranges.count() <= FEW else ranges
+    sides = (df.withColumn("node", node).join(ranges, ["run", "node"], "left_semi").groupBy("run", F.col("ordinal").cast("long").alias("ordinal")).agg(F.sort_array(F.collect_list("digest")).alias("all")).select(
+        "run", "ordinal", F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.sha2(F.array_join("all", ","), 256)).alias(name)) for df, name in ((one, "one"), (two, "two")))
+    return next(sides).join(next(sides), ["run", "ordinal"], "full_outer").where(~F.col("one").eqNullSafe(F.col("two"))).select("run", "ordinal", "one", "two")
 
 
 def frozen_audit(selection: DataFrame, artifacts: DataFrame, runs: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -136,15 +142,25 @@ def frozen_audit(selection: DataFrame, artifacts: DataFrame, runs: DataFrame, re
     ``receipts`` (run, artifact_id) what was paid. Codes: INVALID (an id twice, or a digest that is none), INCOMPLETE (frozen, but gone),
     UNFROZEN (there, but not frozen), CHANGED, LINEAGE, RECEIPT (none, or more than one).
     """
-    leaf = F.sha2(F.concat_ws("|", "artifact_id", "digest"), 256).alias("digest")
-    unlike = differing(selection.select("run", "ordinal", leaf), artifacts.select("run", "ordinal", leaf))
-    changed = unlike.select("run", "ordinal", F.when(F.col("two").isNull(), "INCOMPLETE").when(F.col("one").isNull(), "UNFROZEN").otherwise("CHANGED").alias("code"))
-    again = selection.groupBy("run", "artifact_id").agg(F.count("*").alias("times")).where("times > 1")
-    invalid = selection.join(again, ["run", "artifact_id"], "left").where(F.col("times").isNotNull() | ~F.coalesce(F.col("digest").rlike(DIGEST), F.lit(False)))
-    strange = artifacts.join(runs.withColumnRenamed("lineage", "expected"), "run").where(~F.col("lineage").eqNullSafe(F.col("expected")))
-    paid = receipts.groupBy("run", "artifact_id").agg(F.count("*").alias("paid"))
-    unpaid = selection.join(paid, ["run", "artifact_id"], "left").where(F.coalesce("paid", F.lit(0)) != 1)
-    coded = [df.select("run", F.col("ordinal").cast("long").alias("ordinal"), F.lit(code).alias("code")) for df, code in ((invalid, "INVALID"), (strange, "LINEAGE"), (unpaid, "RECEIPT"))]
+    leaf = F.concat_ws("|", "artifact_id", "digest").alias("digest")
+    code = F.when(F.col("twos") == 0, "INCOMPLETE").when(F.col("ones") == 0, "UNFROZEN").otherwise("CHANGED")
+    changed = unlike(selection.select("run", "ordinal", leaf), artifacts.select("run", "ordinal", leaf)).select("run", "ordinal", code.alias("code"))
+    frozen = selection.select("run", F.col("ordinal").cast("long").alias("ordinal"), "artifact_id", (~F.coalesce(F.col("digest").rlike(DIGEST), F.lit(False))).alias("bad"))
+    named = F.col("run").isNotNull() & F.col("artifact_id").isNotNull()
+    # Frozen rows and receipts of an id meet as numbers; rows of an id that is there once need no join to find their place again.
+    each = frozen.where(named).select("run", "artifact_id", "ordinal", F.lit(1).alias("frozen")).union(receipts.where(named).select("run", "artifact_id", F.lit(None).cast("long"), F.lit(0)))
+    ids = each.groupBy("run", "artifact_id").agg(F.sum("frozen").alias("times"), (F.count("*") - F.sum("frozen")).alias("paid"), F.max("ordinal").alias("ordinal")).where("times > 0 and (times > 1 or paid <> 1)")
+    ids = checkpointed(ids)
+    again = ids.where("times > 1").select("run", "artifact_id", (F.col("paid") != 1).alias("unpaid"))
+    n = again.count()
+    invalid, unpaid = frozen.where("bad").select("run", "ordinal"), ids.where("times = 1").select("run", "ordinal").union(frozen.where(~named).select("run", "ordinal"))
+    if n:
+        twice = frozen.join(F.broadcast(again) if n <= FEW else again, ["run", "artifact_id"])
+        invalid, unpaid = invalid.union(twice.where("not bad").select("run", "ordinal")), unpaid.union(twice.where("unpaid").select("run", "ordinal"))
+    expected = runs.withColumnRenamed("lineage", "expected")
+    expected = F.broadcast(expected) if expected.count() <= FEW else expected
+    strange = artifacts.join(expected, "run").where(~F.col("lineage").eqNullSafe(F.col("expected"))).select("run", F.col("ordinal").cast("long").alias("ordinal"))
+    coded = [df.withColumn("code", F.lit(code)) for df, code in ((invalid, "INVALID"), (strange, "LINEAGE"), (unpaid, "RECEIPT"))]
     return reduce(DataFrame.union, [changed, *coded])
 
 

@@ -80,6 +80,25 @@ def test_differing_rows_against_a_plain_comparison(spark):
     assert audits.differing(frames[0].limit(0), frames[0].limit(0)).collect() == []
 
 
+def test_rows_of_one_ordinal_and_what_moves(spark):
+    """Equal digests at one ordinal don't cancel each other, and the rows of either selection move once, as numbers."""
+    one = [("a", 1, "x"), ("a", 1, "x"), ("a", 2, "x"), ("a", 2, "y"), ("a", 3, "x"), ("a", 3, "x"), ("a", 4, "x"), ("b", 4, None), ("b", 7, None), (None, 5, "x"), ("c", None, "x")]
+    two = [("a", 1, "y"), ("a", 1, "y"), ("a", 2, "y"), ("a", 2, "x"), ("a", 3, "x"), ("a", 4, "x"), ("b", 4, "x"), ("b", 6, "x"), ("b", 7, None)]
+    frames = [spark.createDataFrame(x, "run string, ordinal long, digest string") for x in (one, two)]
+    got = audits.unlike(*frames)
+    assert {tuple(r) for r in got.collect()} == {("a", 1, 2, 2), ("a", 3, 2, 1), ("b", 4, 1, 1), ("b", 6, 0, 1)}
+    assert {(r["run"], r["ordinal"]) for r in audits.differing(*frames).collect()} == {("a", 1), ("a", 3), ("b", 4), ("b", 6)}
+
+
+def test_frozen_ids_that_are_there_twice_or_null(spark):
+    good = digest("x")
+    selection = [("r", 1, "a", good), ("r", 2, "a", "bad"), ("r", 3, "b", good), ("r", 4, "b", good), ("r", 5, None, good), ("r", 6, "c", good)]
+    got = audits.frozen_audit(
+        spark.createDataFrame(selection, "run string, ordinal int, artifact_id string, digest string"), spark.createDataFrame([(*x, "line") for x in selection], "run string, ordinal int, artifact_id string, digest string, lineage string"),
+        spark.createDataFrame([("r", "line")], "run string, lineage string"), spark.createDataFrame([("r", "a"), ("r", "c"), ("r", None), ("r", "d")], "run string, artifact_id string"))
+    assert sorted((r["ordinal"], r["code"]) for r in got.collect()) == [(1, "INVALID"), (2, "INVALID"), (3, "INVALID"), (3, "RECEIPT"), (4, "INVALID"), (4, "RECEIPT"), (5, "RECEIPT")]
+
+
 def test_frozen_codes(spark):
     rows = [("r", k, f"a{k}", digest(str(k))) for k in range(20)]
     selection = [*rows[:3], ("r", 3, "a3", HEX), *rows[4:18], ("r", 18, "a17", rows[17][3]), ("r", 30, "gone", HEX), ("r", 31, "odd", "no digest")]
