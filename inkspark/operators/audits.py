@@ -34,14 +34,28 @@ def power(place: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), whole(1), step)
 
 
+def number(element: Column) -> Column:
+    """60 bits of an element's digest."""
+    return F.conv(F.left(F.sha2(element, 256), F.lit(15)), 16, 10).cast("long")
+
+
+def packed(digest: Column) -> Column:
+    """Digests as bytes, half as long; other texts stay apart from them."""
+    return F.when(digest.rlike(DIGEST), F.concat(F.lit(b"\1"), F.unhex(digest))).otherwise(F.concat(F.lit(b"\0"), F.encode(digest, "UTF-8")))
+
+
 def chained(rows: DataFrame, key: str, order: list[str], element: Column) -> DataFrame:
     """``rows`` with ``place`` in their key's order, from 0, and ``chain``: the digest of all elements up to there."""
+    return linked(rows.withColumn("_number", number(element)), key, order)
+
+
+def linked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``chained`` of rows whose elements are a ``_number`` already, which alone moves."""
     by = Window.partitionBy(key).orderBy(*order)
     placed = rows.withColumn("place", (F.row_number().over(by) - 1).cast("long"))
-    number = whole(F.conv(F.left(F.sha2(element, 256), F.lit(15)), 16, 10))
-    termed = placed.withColumn("_term", whole((number * power(F.col("place"))) % whole(MODULUS)))
+    termed = placed.withColumn("_term", whole((whole(F.col("_number")) * power(F.col("place"))) % whole(MODULUS)))
     upto = F.sum("_term").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return termed.withColumn("chain", (upto % F.lit(str(MODULUS)).cast("decimal(38,0)")).cast("decimal(19,0)")).drop("_term")
+    return termed.withColumn("chain", (upto % F.lit(str(MODULUS)).cast("decimal(38,0)")).cast("decimal(19,0)")).drop("_term", "_number")
 
 
 def receipt(name: str) -> Column:
@@ -65,23 +79,27 @@ def budget_audit(budgets: DataFrame, carried: DataFrame, grants: DataFrame, extr
     """
     of = budgets.select(F.col("grant_id").alias("own"), "document", "workspace", "user", "sha", "max_reserved", "pinned", "carries")
     owner = of.select("own", "document", "workspace", F.col("user").alias("own_user"), F.col("sha").alias("own_sha"))
-    peers = owner.join(grants, ["workspace", "document"]).where("own <> grant_id").select(
-        "own", F.col("grant_id").alias("peer"), "own_user", "own_sha", "workspace", "document", "user", "status", "sha", "reserved", "entries", "payload_digest", "extraction", "created")
+    # What only this audit asks of a grant is answered where it is, so that the answers move and not what they are about.
+    total = F.when(F.exists("entries", lambda x: x.isNull() | (x < 0)), None).otherwise(F.aggregate("entries", F.lit(0).cast("long"), lambda a, x: a + x))
+    settled = F.coalesce(F.col("status").isin(SETTLED), F.lit(False))
+    asked = grants.select("workspace", "document", F.col("grant_id").alias("peer"), "user", F.col("sha").alias("of_sha"), "reserved", packed(F.col("payload_digest")).alias("digest"), number(receipt("grant_id")).alias("_number"), "extraction", "created", settled.alias("settled"), total.alias("total"))
     known = extractions.select("extraction", "workspace", "document").distinct().withColumn("extracted", F.lit(True))
-    peers = peers.join(known, ["extraction", "workspace", "document"], "left")
-    listed = carried.select(F.col("grant_id").alias("own"), F.col("carried_id").alias("peer"), F.col("place").alias("at"), F.col("payload_digest").alias("said_digest"), F.col("reserved").alias("said"))
-    both = peers.join(listed, ["own", "peer"], "full_outer")
-    here, there = F.col("status").isNotNull(), F.col("at").isNotNull()
-    odd = F.exists("entries", lambda x: x.isNull() | (x < 0)) | (F.aggregate("entries", F.lit(0).cast("long"), lambda a, x: a + x) != F.col("said"))
+    asked = asked.join(known, ["extraction", "workspace", "document"], "left").drop("extraction")
+    peers = owner.join(asked, ["workspace", "document"]).where("own <> peer").select(
+        "own", "peer", F.col("user").eqNullSafe(F.col("own_user")).alias("same_user"), F.col("of_sha").eqNullSafe(F.col("own_sha")).alias("same_sha"), "settled", "reserved", "total", "digest", "_number", F.col("extracted").isNotNull().alias("extracted"), "created")
+    listed = carried.select(F.col("grant_id").alias("own"), F.col("carried_id").alias("peer"), F.col("place").alias("at"), packed(F.col("payload_digest")).alias("said_digest"), F.col("reserved").alias("said"))
+    both = peers.drop("created", "_number").join(listed, ["own", "peer"], "full_outer")
+    here, there = F.col("settled").isNotNull(), F.col("at").isNotNull()
+    odd = F.col("total").isNull() | (F.col("total") != F.col("said"))
     counts = both.groupBy("own").agg(
         F.count_if(here & ~there).alias("missing"), F.count_if(there & ~here).alias("unknown"), F.count_if(here).alias("peers"),
-        F.count_if(here & there & ~F.col("user").eqNullSafe(F.col("own_user"))).alias("owner"), F.count_if(here & there & ~F.col("status").isin(SETTLED)).alias("status"),
-        F.count_if(here & there & ~(F.col("payload_digest").eqNullSafe(F.col("said_digest")) & F.col("sha").eqNullSafe(F.col("own_sha")))).alias("changed"),
-        F.count_if(here & there & (~F.col("reserved").eqNullSafe(F.col("said")) | F.coalesce(odd, F.lit(True)))).alias("reservation"), F.count_if(here & there & F.col("extracted").isNull()).alias("extraction"),
+        F.count_if(here & there & ~F.col("same_user")).alias("owner"), F.count_if(here & there & ~F.col("settled")).alias("status"),
+        F.count_if(here & there & ~(F.col("digest").eqNullSafe(F.col("said_digest")) & F.col("same_sha"))).alias("changed"),
+        F.count_if(here & there & (~F.col("reserved").eqNullSafe(F.col("said")) | F.coalesce(odd, F.lit(True)))).alias("reservation"), F.count_if(here & there & ~F.col("extracted")).alias("extraction"),
         F.count_if(there).alias("n"), F.count_distinct(F.when(there, F.col("peer"))).alias("different"), F.coalesce(F.sum("said"), F.lit(0)).alias("gross"),
-        F.count_if(there & (~F.coalesce(F.col("said_digest").rlike(DIGEST), F.lit(False)) | F.coalesce(F.col("said") < 0, F.lit(True)) | (F.length(F.col("peer").cast("string")) == 0))).alias("malformed"))
+        F.count_if(there & (~F.coalesce(F.startswith("said_digest", F.lit(b"\1")), F.lit(False)) | F.coalesce(F.col("said") < 0, F.lit(True)) | (F.length(F.col("peer").cast("string")) == 0))).alias("malformed"))
     twins = of.select("own", "workspace", "document", "sha").join(grants.select("workspace", "sha", F.col("document").alias("other")).distinct(), ["workspace", "sha"]).where("other <> document").select("own").distinct().withColumn("twin", F.lit(True))
-    made = chained(peers, "own", ["created", "peer"], receipt("peer")).select("own", "place", F.col("chain").alias("made"))
+    made = linked(peers.select("own", "created", "peer", "_number"), "own", ["created", "peer"]).select("own", "place", F.col("chain").alias("made"))
     said = chained(carried.withColumnRenamed("place", "at"), "grant_id", ["at"], receipt("carried_id")).select(F.col("grant_id").alias("own"), "place", "chain")
     order = said.join(made, ["own", "place"]).where("chain <> made").groupBy("own").agg(F.min("place").alias("first_difference"))
     rows = of.join(counts, "own", "left").join(twins, "own", "left").join(order, "own", "left").join(budget_digests(carried).withColumnRenamed("grant_id", "own"), "own", "left")

@@ -34,10 +34,12 @@ def budget_audit(spark, sf_dir):
     by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     k, n, f = F.row_number().over(by), F.count("*").over(Window.partitionBy("o_custkey")), F.col("o_custkey") % 11
     document, reserved = F.col("o_custkey").cast("string"), F.floor("o_totalprice").cast("long")
-    grants = orders.select(
+    # Numbered first, so that what is made of an order doesn't move with it.
+    numbered = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", k.alias("k"), n.alias("n"))
+    grants = numbered.select(
         F.col("o_orderkey").alias("grant_id"), document.alias("document"), F.lit("w").alias("workspace"), F.lit("u").alias("user"), F.when(F.col("o_orderstatus") == "P", "RUNNING").when(F.col("o_orderstatus") == "F", "FAILED").otherwise("SUCCEEDED").alias("status"),
         F.concat(F.lit("sha"), document).alias("sha"), reserved.alias("reserved"), F.array(reserved - 1, F.lit(1).cast("long")).alias("entries"), F.sha2(F.concat_ws("|", "o_orderkey", "o_totalprice"), 256).alias("payload_digest"),
-        F.concat(F.lit("e"), document).alias("extraction"), k.cast("long").alias("created"), n.alias("n"), f.alias("f"))
+        F.concat(F.lit("e"), document).alias("extraction"), F.col("k").cast("long").alias("created"), "n", f.alias("f"))
     last = grants.where("created = n")
     peers = grants.where("created < n").join(last.select("document", F.col("grant_id").alias("own")), "document")
     first = F.col("created") == 1

@@ -161,3 +161,11 @@ def test_revision_codes(spark):
     parts = sorted([f"m:m{k}:{digest(f'content {k}')}" for k in range(4)] + [f"b:b:{digest('a text 😀 of some length')}"])
     assert rows["fine"]["original_hash"] == digest(",".join(parts))
     assert {r["memory_id"]: r["vector_state"] for r in states.where("revision_id = 'fine'").collect()} == {"m0": "REUSE", "m1": "REFRESHED", "m2": "REFRESH_REQUIRED", "m3": "REUSE"}
+
+
+def test_packed_digests_are_half_as_long_and_apart_from_other_texts(spark):
+    values = [digest("a"), digest("b"), digest("a").upper(), "", "\1" + "x" * 32, "x" * 32, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", audits.packed(F.col("v")).alias("p"), audits.number(F.col("v")).alias("n")).collect()
+    assert len({bytes(r["p"]) for r in rows if r["p"] is not None}) == 6 and rows[-1]["p"] is None
+    assert all(len(r["p"]) == 33 and r["p"][0] == 1 for r in rows[:2]) and all(r["p"][0] == 0 for r in rows[2:6])
+    assert rows[0]["n"] == int(digest(digest("a"))[:15], 16)
