@@ -46,10 +46,12 @@ def page_links(spark, sf_dir):
 @query("y06_speech_pieces", """
 SELECT doc_id, sha256(regexp_replace(text, '\\s+', '', 'g')) AS digest, true AS bounded FROM documents""")
 def speech(spark, sf_dir):
-    """Spoken pieces of every text: none is longer than 500, and together they say it all."""
+    """Spoken pieces of every text: none is longer than 500, and together they say it all. A row for each row, also where ids repeat
+    or a text has no piece."""
     return sql(spark, sf_dir, r"""
-SELECT d.doc_id, sha2(regexp_replace(array_join(transform(array_sort(collect_list(struct(p.ordinal, p.piece))), x -> x.piece), ''), '[\\s]+', ''), 256) AS digest, bool_and(length(p.piece) <= 500) AS bounded
-FROM {documents} d, LATERAL speech_pieces(d.text, 500) p GROUP BY d.doc_id""")
+SELECT any_value(doc_id) AS doc_id, sha2(regexp_replace(array_join(transform(array_sort(collect_list(struct(p.ordinal, p.piece))), x -> x.piece), ''), '[ \\t\\n\\f\\r]+', ''), 256) AS digest, bool_and(length(p.piece) <= 500) AS bounded
+FROM (SELECT monotonically_increasing_id() AS row, doc_id, text FROM {documents}) d, LATERAL speech_pieces(d.text, 500) p GROUP BY row
+UNION ALL SELECT doc_id, sha2(regexp_replace(text, '[ \\t\\n\\f\\r]+', ''), 256), true FROM {documents} WHERE text IS NULL OR NOT text RLIKE '[^ \\t\\n\\f\\r]'""")
 
 
 @query("y06_soft_pieces", "SELECT doc_id, length(text)::BIGINT AS covered, true AS in_order FROM documents WHERE text <> ''")

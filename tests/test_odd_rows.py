@@ -21,7 +21,7 @@ def against(spark, tmp_path, name, **tables):
     return sorted(map(tuple, got.collect()), key=repr), sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({library.SQL[name]})").fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["y06_soft_pieces"])
+@pytest.mark.parametrize("name", ["y06_soft_pieces", "y06_speech_pieces"])
 def test_pieces_of_odd_texts(spark, tmp_path, name):
     got, want = against(spark, tmp_path, name, documents=(TEXTS, "doc_id long, text string"))
     assert got == want and len(got) == sum(bool(x) for _, x in TEXTS) + (name == "y06_speech_pieces") * sum(not x for _, x in TEXTS)
