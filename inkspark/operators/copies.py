@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions.text import units
-from inkspark.sources.tables import checkpointed, parts
+from inkspark.sources.tables import checkpointed, parts, shared_folder
 
 #: UTF-16 units of a shingle, between shingles, and of a text that is looked for whole.
 SHINGLE, STEP, WHOLE = 60, 20, 120
@@ -54,49 +54,51 @@ def probe(h: np.ndarray) -> np.ndarray:
     return np.unique(np.minimum(back[:many], ahead[width - 1 : width - 1 + many]))
 
 
-def marks(text: str):
+def marks(text: str, kinds: tuple[str, ...] = ("shingle", "probe")):
     """(whether they are probes, hashes) of each run of a text."""
     wide = np.frombuffer(text.encode("utf-16-le"), np.uint16)
     for low in range(0, max(1, len(wide) - SHINGLE + 1), RUN):
         h = hashes(wide[low : low + RUN + WHOLE - 1])
-        yield False, h[:RUN][(-low) % STEP :: STEP].copy()  # a view would keep all of ``h``
-        yield True, probe(h)
+        if "shingle" in kinds:
+            yield False, h[:RUN][(-low) % STEP :: STEP].copy()  # a view would keep all of ``h``
+        if "probe" in kinds:
+            yield True, probe(h)
 
 
-def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, kind, hash): hashes of the shingles of ``plain`` (kind ``shingle``), and of its probes (kind ``probe``)."""
-    schema = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys) + ", kind string, hash long"
+def fingerprints(texts: DataFrame, key: str, kind: str) -> DataFrame:
+    """(key, hash, many): hashes of the shingles of ``plain`` or of its probes, as ``kind`` says, and how many rows a text has."""
 
     def run(batches):
         for batch in parts(batches, "plain"):
-            found = [(row, *mark) for row in range(batch.num_rows) for mark in marks(batch.column("plain")[row].as_py() or "")]
-            sizes = [len(h) for *_, h in found]
-            rows = pa.array(np.repeat([row for row, *_ in found], sizes).astype(np.int64))
-            kinds = pa.array(np.repeat(["probe" if x else "shingle" for _, x, _ in found], sizes).tolist(), pa.string())
-            both = np.concatenate([h for *_, h in found] or [np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in keys), kinds, pa.array(both)], [*keys, "kind", "hash"])
+            found = [[h for _, h in marks(text or "", (kind,))] for text in batch.column("plain").to_pylist()]
+            sizes = np.array([sum(map(len, own)) for own in found], np.int64)
+            rows, both = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([h for own in found for h in own] or [np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), pa.array(both), pa.array(sizes[rows].astype(np.int32))], [key, "hash", "many"])
 
-    return texts.select(*keys, "plain").mapInArrow(run, schema)
+    return texts.select(key, "plain").mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, hash long, many int")
 
 
 def overlap(texts: DataFrame, keys: list[str], sources: DataFrame) -> DataFrame:
     """(keys, risk): the share of a text's shingles that begin ``STEP`` apart which the sources hold among theirs, and 1 if a text of
     ``WHOLE`` units or more lies in a source whole, at any offset; 0 for texts below a shingle.
 
-    ``texts`` has (keys, plain), ``sources`` (source_id, plain). Shares go by 64-bit hashes. A text lies in those sources only that
-    have all its probes, a thirtieth of its places; it meets those that have the one fewest sources have, and is compared with
-    them in full, with one of them first. Equal texts, and equal sources, are one.
+    ``texts`` has (keys, plain), ``sources`` (source_id, plain); both are read more than once. Shares go by 64-bit hashes. A text lies
+    in those sources only that have all its probes, a thirtieth of its places; it meets those that have the one fewest sources
+    have, and is compared with them in full, with one of them first. Equal texts, and equal sources, are one. Of shingles and
+    probes only those that a source holds move a second time.
     """
     named, there = texts.withColumn("own", F.xxhash64("plain", F.length("plain"))), sources.select(F.xxhash64("plain", F.length("plain")).alias("source"), "plain")
-    marks = fingerprints(there, ["source"])
-    pool = marks.where("kind = 'shingle'").select(F.col("hash").alias("held")).distinct()
-    # Rows carry two numbers: equal texts have equal shares, however often they are counted.
-    own = fingerprints(named, ["own"])
-    shared = own.where("kind = 'shingle'").select("own", "hash").join(pool, F.col("hash") == F.col("held"), "left").groupBy("own").agg((F.count("held") / F.count("*")).alias("share"))
-    index = marks.where("kind = 'probe'").select("source", "hash")
-    many = index.groupBy("hash").agg(F.count("*").alias("n"))
-    rarest = own.where("kind = 'probe'").select("own", "hash").join(many, "hash", "left").groupBy("own").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash")).alias("x"))
-    rarest = checkpointed(rarest.where("x.n > 0").select("own", F.col("x.hash").alias("hash")))
+    pool = fingerprints(there, "source", "shingle").select(F.col("hash").alias("held")).distinct()
+    # Rows carry two numbers. Equal texts are counted together, as often as there are any.
+    held = fingerprints(named, "own", "shingle").select("own", "hash").join(pool, F.col("hash") == F.col("held")).groupBy("own").agg(F.count("*").alias("held"))
+    whole_units = units(F.col("plain"))
+    every = named.where(whole_units >= SHINGLE).select("own", F.ceil((whole_units - SHINGLE + 1) / STEP).alias("n")).groupBy("own").agg(F.sum("n").alias("n"))
+    shared = held.join(every, "own").select("own", (F.col("held") / F.col("n")).alias("share"))
+    index = fingerprints(there, "source", "probe").select("source", "hash")
+    common = index.groupBy("hash").agg(F.count("*").alias("n"))
+    # A text that lies in a source has no probe that none has.
+    rarest = fingerprints(named, "own", "probe").join(common, "hash").groupBy("own").agg(F.min(F.struct("n", "hash")).alias("x"), F.count("*").alias("met"), F.min("many").alias("many"))
+    rarest = checkpointed(rarest.where("met >= many").select("own", F.col("x.hash").alias("hash")))
     # One row a text that may lie in a source; the sources' own probes, many more, then needn't move.
     asked = F.broadcast(rarest) if rarest.count() <= FEW else rarest
     met = checkpointed(index.join(asked, "hash").select("own", "source").distinct())
@@ -113,17 +115,29 @@ def overlap(texts: DataFrame, keys: list[str], sources: DataFrame) -> DataFrame:
     first = checkpointed(inside(met.groupBy("own").agg(F.min("source").alias("source"))))
     rest = met.join(first, "own", "left_anti")
     whole = first.union(inside(rest)).withColumn("whole", F.lit(1.0))
-    return named.select(*keys, "own").join(shared, "own", "left").join(whole, "own", "left").select(*keys, F.coalesce("whole", "share", F.lit(0.0)).alias("risk"))
+    risks = shared.join(whole, "own", "full").select("own", F.coalesce("whole", "share").alias("found"))
+    return named.select(*keys, "own").join(risks, "own", "left").select(*keys, F.coalesce("found", F.lit(0.0)).alias("risk"))
 
 
 def script_risk(turns: DataFrame, sources: DataFrame) -> DataFrame:
     """(script, utterance_risk, segment_risk, script_risk, copy_risk): the greatest ``overlap`` of a turn, of a segment's turns in a row,
     and that of the whole script, and the greatest of the three. ``turns`` has (script, turn, segment, text)."""
-    own = checkpointed(turns.select("script", "turn", F.coalesce("segment", F.lit(0)).cast("long").alias("segment"), plain(F.col("text")).alias("plain")))
-    joined = F.array_join(F.array_sort(F.collect_list(F.struct("turn", "plain")))["plain"], "").alias("plain")
-    levels = [own.select("script", F.lit("utterance").alias("level"), F.col("turn").cast("long").alias("place"), "plain"),
-              own.groupBy("script", "segment").agg(joined).select("script", F.lit("segment").alias("level"), F.col("segment").alias("place"), "plain"),
-              own.groupBy("script").agg(joined).select("script", F.lit("script").alias("level"), F.lit(0).cast("long").alias("place"), "plain")]
-    found = overlap(levels[0].union(levels[1]).union(levels[2]), ["script", "level", "place"], sources.select("source_id", plain(F.col("text")).alias("plain")))
-    of = lambda level: F.max(F.when(F.col("level") == level, F.col("risk"))).alias(f"{level}_risk")
-    return found.groupBy("script").agg(of("utterance"), of("segment"), of("script"), F.max("risk").alias("copy_risk"))
+    spark = turns.sparkSession
+    # One exchange: a script's turns, and so its segments, meet where it lies. It is written once; each look makes its texts anew.
+    own = turns.select("script", "turn", F.coalesce("segment", F.lit(0)).cast("long").alias("segment"), plain(F.col("text")).alias("plain")).repartition("script")
+    spoken = own.groupBy("script", "segment").agg(F.array_sort(F.collect_list(F.struct("turn", "plain"))).alias("turns"))
+    folder = shared_folder(spark)
+    spoken.groupBy("script").agg(F.collect_list("turns").alias("segments")).write.parquet(folder)
+    one = F.size("segments") == 1
+    text = lambda utterance, segment, script, plain: F.struct(utterance.alias("utterance"), segment.alias("segment"), script.alias("whole"), plain.alias("plain"))
+    joined = lambda turns: F.array_join(F.transform(turns, lambda x: x["plain"]), "")
+    yes, no = F.lit(True), F.lit(False)
+    # A text that is two levels at once, as of a segment of one turn, is one.
+    lines = F.flatten(F.transform("segments", lambda s: F.transform(s, lambda x: text(yes, F.size(s) == 1, one & (F.size(s) == 1), x["plain"]))))
+    segments = F.transform(F.filter("segments", lambda s: F.size(s) > 1), lambda s: text(no, yes, one, joined(s)))
+    whole = F.filter(F.array(text(no, no, yes, joined(F.array_sort(F.flatten("segments"))))), lambda _: ~one)
+    levels = spark.read.parquet(folder).select("script", F.inline(F.concat(lines, segments, whole)))
+    source_rows = sources.select("source_id", plain(F.col("text")).alias("plain"))
+    found = overlap(levels, ["script", "utterance", "segment", "whole"], source_rows)
+    of = lambda level, name: F.max(F.when(F.col(level), F.col("risk"))).alias(name)
+    return found.groupBy("script").agg(of("utterance", "utterance_risk"), of("segment", "segment_risk"), of("whole", "script_risk"), F.max("risk").alias("copy_risk"))
