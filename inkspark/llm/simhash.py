@@ -123,7 +123,8 @@ def plan(together: np.ndarray, sample: np.ndarray, n: int, bits: int) -> list[tu
         costs = []
         for part in parts:
             mask = np.uint64(sum(1 << b for b in part))
-            apart = np.bitwise_count((sample[:, None] ^ sample[None, :]) & mask)[np.triu_indices(len(sample), 1)]
+            # A row at a time: the table of all pairs would be the driver's largest.
+            apart = np.concatenate([np.bitwise_count((sample[k + 1 :] ^ x) & mask) for k, x in enumerate(sample)] or [np.empty(0, np.uint8)])
             # Chance of each distance: the sample's, and where it has none, that of independent bits.
             chance = np.zeros(len(part) + 1)
             chance[0] = 1

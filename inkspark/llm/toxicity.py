@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from inkspark.llm.arrays import coded_words, segment_sums, slices, subwords
+from inkspark.llm.arrays import coded_words, give_back, segment_sums, slices, subwords
 from inkspark.llm.common import held_out, read
 
 
@@ -168,6 +168,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
     docs = docs.drop("held_out", "score", "predicted")
     texts, marks = sample(docs, labels, label, settings)
     weights, bias = fit(texts, marks, settings) if texts else (np.zeros(settings.buckets), 0.0)
+    del texts
+    give_back()
     return (
         score(docs, weights, bias, settings).withColumn("held_out", held_out())
         .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
